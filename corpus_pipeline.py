@@ -29,7 +29,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return classifier.apply(kept, model).where("predicted = 1").withColumnRenamed("__whole", "text").select(*_columns(docs))
 
 
-STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that repeat across documents."""
+    from tessera.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(docs.select(*_columns(docs)))
+    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    return out.select(*_columns(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: that with the smallest doc_id; a repeated row stays once."""
+    from tessera.llm.near_dedup import near_dedup as classes
+
+    kept = classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # rows that share the doc_id as well as the text's words; nulls and all
+    return out.withColumn("__words", F.xxhash64("text")).dropDuplicates(["doc_id", "__words"]).select(*_columns(docs))
+
+
+STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("near_dedup", near_dedup)]
 
 #: No SQL: the first two stages are models. tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None

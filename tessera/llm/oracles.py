@@ -1,5 +1,8 @@
 """DuckDB SQL for those text queries that SQL can express."""
 
 
+from tessera.llm import line_dedup
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.SQL}
