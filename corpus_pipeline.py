@@ -48,7 +48,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("__words", F.xxhash64("text")).dropDuplicates(["doc_id", "__words"]).select(*_columns(docs))
 
 
-STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("near_dedup", near_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; see tessera.llm.packing.SCHEMA."""
+    import public_tokenizers
+
+    from tessera.llm.packing import pack
+
+    paths = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    return pack(docs, *paths, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
 
 #: No SQL: the first two stages are models. tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None

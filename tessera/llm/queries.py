@@ -38,5 +38,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import encode_documents
+
+    ranks_path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(table(spark, sf_dir, "documents"), ranks_path, public_tokenizers.PATTERN)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack
+
+    vocabulary_path = vocabulary_path or public_tokenizers.path("byte_bpe_50k.json")
+    ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path, ranks_path, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
