@@ -1,8 +1,8 @@
 """DuckDB SQL for those text queries that SQL can express."""
 
 
-from tessera.llm import line_dedup
+from tessera.llm import chat_format, line_dedup
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op5_line_dedup": line_dedup.SQL}

@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.chat_format import mask_text, rotate
+
+    return rotate(table(spark, sf_dir, "conversations")).withColumn("mask", mask_text(F.col("mask")))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_classifier import quality_classifier
 
