@@ -61,6 +61,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) ->
     return encode_documents(table(spark, sf_dir, "documents"), ranks_path, public_tokenizers.PATTERN)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.embedding_dedup import embedding_dedup
+
+    out = embedding_dedup(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
