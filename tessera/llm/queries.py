@@ -23,6 +23,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations")).withColumn("mask", mask_text(F.col("mask")))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_classifier import quality_classifier
 
