@@ -67,6 +67,17 @@ def fold(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows if there are at most `most`; else those whose key's hash is below a threshold that leaves about as many.
+
+    The expected number is `most`; unlike an ordered limit it sends nothing else to the driver, whatever the tasks.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of runs of whole texts; a null text is empty.
 

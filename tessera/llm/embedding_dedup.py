@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import hash_sample, stored
 from tessera.llm.components import components
 
 COSINE = 0.98
-#: Vectors that the index is fitted on, the first by hash; k-means rounds; parts of a residual; codes of a part.
+#: Vectors that the index is fitted on, about, if there are more, chosen by hash; k-means rounds; parts of a residual; codes of a part.
 SAMPLE, ROUNDS, SUBSPACES, CODES = 20_000, 8, 8, 64
 #: Coarse centroids: the square root of the nodes over CELL, at most CELLS. Vectors in a block.
 CELL, CELLS, BLOCK = 8, 4096, 2048
@@ -194,7 +194,7 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     places = None
     for r in nodes.groupBy(F.size("unit").alias("d")).count().orderBy("d").collect():  # the lengths of the vectors: one, as a rule
         sized = nodes.where(F.size("unit") == r.d)
-        sample = np.array([s.unit for s in sized.select("unit", "key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()])
+        sample = np.array([s.unit for s in hash_sample(sized, "key", SAMPLE).select("unit").orderBy("key").collect()])
         found = _links(sized, fit(sample, r["count"]), cosine, radius)
         places = found if places is None else places.unionByName(found)
     if places is None:

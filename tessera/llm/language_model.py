@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, fold, mix, stored, text_chunks, words_of
 
 SPLIT, HELD_OUT = 7, 2
-#: Words sent to every task with their counts: a bound, whatever the corpus.
+#: Most words sent to every task with their counts: a bound, whatever the corpus.
 HOT = 65_536
 #: Classes: frequent words, shared ones, the end.
 TOP, BUCKETS = 96, 159
@@ -52,6 +52,7 @@ ROWS = 512
 class Model:
     hot_words: pa.Array
     hot_counts: np.ndarray
+    least: int  # the smallest hot count
     tokens: int  # N
     types: int  # V
     ends: int  # training documents
@@ -220,7 +221,15 @@ def prepare(train_docs: DataFrame, counts: DataFrame) -> Model:
     """The model before training: counts of the hot words and of the classes."""
     ends = train_docs.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    hot = counts.orderBy(F.desc("c"), "word").limit(HOT).collect()
+    # the counts from which at most HOT words are left, in steps of an eighth of an octave: no task sorts, or sends more
+    step = F.floor(F.log2("c") * 8).cast("int")
+    least, left = 1 << 62, HOT
+    for r in counts.groupBy(step.alias("step")).agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        left -= r.n
+        if left < 0:
+            break
+        least = r.c
+    hot = sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r.c, r.word))
     top = [r.word for r in hot[:TOP]]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +250,7 @@ def prepare(train_docs: DataFrame, counts: DataFrame) -> Model:
     mass[: len(top)] += [r.c for r in hot[:TOP]]
     mass[END] = ends + 1
     words, c = pa.array([r.word for r in hot], pa.large_string()), np.array([r.c for r in hot], np.int64)
-    return Model(words, c, int(total.n) + ends, int(total.v) + (ends > 0), ends, np.log10(n + v + 1), mass / mass.sum())
+    return Model(words, c, least, int(total.n) + ends, int(total.v) + (ends > 0), ends, np.log10(n + v + 1), mass / mass.sum())
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<string>, times array<int>"
@@ -285,8 +294,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     model.weights = train(training, model)
     scored = stored(_score(docs, model), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
-    least = int(model.hot_counts[-1]) if len(model.hot_counts) else 0
-    tail = counts.where(F.col("c") <= least)  # the hot words, but for ties with the last of them, aren't looked for
+    tail = counts.where(F.col("c") < model.least)  # the hot words aren't looked for
     found = rare.join(tail, F.col("words") == F.col("word"))
     sums = found.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
     out = scored.drop("words", "times").join(sums, "row", "left")

@@ -8,11 +8,10 @@ registers estimates the probability Jaccard of the weighted sets. BANDS groups o
 buckets in which candidates meet; a candidate pair is linked if the Jaccard similarity of the two shingle sets
 is at least the threshold, computed exactly on 64-bit hashes.
 
-Texts with the same words are one node from the start. In the first round the nodes of a bucket are compared
-with one leader, the node that meets most others, and in each further round with twice as many, but only with
-leaders outside their own component, until every bucket is one component or has had all its nodes as leaders.
-So a bucket of n copies costs n comparisons, and no two of a bucket's nodes end in different classes unless
-they were compared.
+Texts with the same words are one node from the start. First the nodes of a bucket are compared with one leader,
+the node that meets most others. The buckets that still hold several components are then compared in full, in
+blocks of about BLOCK nodes, two of them in a task; a task returns a forest of the links between components,
+never the pairs. So no two of a bucket's nodes end in different classes unless they were compared.
 
 Cases: null texts count as empty; texts without words are copies of each other. Rows with the same doc_id are
 nodes of their own unless their words are the same. A null doc_id gets a class like any other row; a class
@@ -24,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ from tessera.llm.components import components
 WORDS, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair meets in some bucket with probability 1 - 5e-5, at 0.5 with 0.55.
 BANDS, ROWS = 26, 5
+#: Nodes in a block of a large bucket.
+BLOCK = 512
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,22 +133,65 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_binary(keys), _lists(value, np.bincount(owner, minlength=n))], ["key", "shingles"])
 
 
-def _live(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """members (bucket, key, weight) with their roots, of the buckets where more than one component meets."""
-    if roots is None:
-        members = members.withColumn("root", F.col("key"))
-    else:
-        members = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ends = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return members.join(ends.select("bucket"), "bucket")
+def _leaders(members: DataFrame) -> DataFrame:
+    """(bucket, leader): the heaviest node of each bucket."""
+    best = F.max(F.struct("weight", F.xxhash64("key").alias("o"), "key")).alias("l")
+    return members.groupBy("bucket").agg(best).select("bucket", F.col("l.key").alias("leader"))
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of the sets in a with those in b."""
+    flat = np.concatenate([*a, *b])
+    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1  # a shingle in one set only is in no intersection
+    kept = (times > 1)[number]
+    column = rank[number]
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])[kept]
+    column = column[kept]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [at, at + 4096])
+        has = np.zeros((len(a) + len(b), 4096), np.float32)
+        has[row[i:j], column[i:j] - at] = 1
+        out += has[: len(a)] @ has[len(a) :].T
+    return out
+
+
+def _compared(threshold: float):
+    """Links between the components that meet in a bucket: a forest of them, for two blocks of it at a time."""
+
+    def bucket(df: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+        own, other = df[df["block"] == df["lo"]], df[df["block"] == df["hi"]]
+        a, b = own["shingles"].tolist(), other["shingles"].tolist()
+        if not a or not b:
+            return []
+        common = _common(a, b)
+        sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])
+        roots, number = np.unique(np.concatenate([own["root"].to_numpy(), other["root"].to_numpy()]), return_inverse=True)
+        ra, rb = number[: len(a)], number[len(a) :]
+        i, j = np.nonzero((common >= threshold * (sizes - common) - 1e-9) & (ra[:, None] != rb))
+        ka, kb = own["key"].tolist(), other["key"].tolist()
+        up, out = list(range(len(roots))), []
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y in zip(i.tolist(), j.tolist()):
+            fx, fy = find(ra[x]), find(rb[y])
+            if fx != fy:
+                up[fx] = fy
+                out.append((min(ka[x], kb[y]), max(ka[x], kb[y])))
+        return out
 
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([e for _, part in df.groupby("bucket", sort=False) for e in bucket(part)], columns=["a", "b"])
 
-def _leaders(members: DataFrame, k: int) -> DataFrame:
-    """(bucket, leader, leader_root): in round k, 2 ** k leaders of each bucket, heaviest first."""
-    salt = F.pmod(F.xxhash64("key", F.lit(k)), F.lit(1 << k))
-    best = F.max(F.struct("weight", F.xxhash64("key").alias("o"), "key", "root")).alias("l")
-    found = members.groupBy("bucket", salt.alias("salt")).agg(best)
-    return found.select("bucket", F.col("l.key").alias("leader"), F.col("l.root").alias("leader_root"))
+    return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -173,25 +218,26 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = texts.select("text").mapInArrow(_sets, "key binary, shingles array<long>")
     sets = stored(sets.join(weights.select("key"), "key", "left_semi").dropDuplicates(["key"]), "shingles")
     members = stored(members.select("bucket", "key").join(weights, "key"), "members")
-    tested = links = roots = None
-    for k in range(64):  # the leaders double: each bucket is empty after as many rounds as its size has bits
-        live = stored(_live(members, roots), "members")
-        if live.isEmpty():
-            break
-        leaders = stored(_leaders(live, k), "leaders")
-        met = live.join(leaders, "bucket").where("root <> leader_root")
-        pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(_verified(pairs, sets, threshold), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links).withColumnRenamed("id", "key")
-        done = leaders.select("bucket", F.col("leader").alias("key"))
-        members = live.select("bucket", "key", "weight").join(done, ["bucket", "key"], "left_anti")
-    if roots is None:
-        roots = nodes.select("key", F.col("key").alias("root")).limit(0)
+    # first: every node of a bucket with its leader
+    leaders = stored(_leaders(members), "leaders")
+    pairs = members.join(leaders, "bucket").where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
+    links = stored(_verified(stored(pairs.distinct(), "pairs"), sets, threshold), "links")
+    roots = components(links).withColumnRenamed("id", "key")
+    # then: the other nodes of the buckets in which more than one component is left
+    rest = members.join(leaders, "bucket").where("key <> leader").select("bucket", "key")
+    rest = stored(rest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rest")
+    live = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    live = stored(live.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "live")
+    if not live.isEmpty():
+        rest = rest.join(live, "bucket").join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        # small buckets share a group, so many that a group has some 2,000 rows
+        groups = max(1, live.where("blocks = 1").count() // 500)
+        small = F.when(F.col("blocks") == 1, F.pmod(F.col("bucket"), F.lit(groups))).otherwise(F.col("bucket"))
+        more = rest.groupBy(small.alias("group"), (F.col("blocks") == 1).alias("is_small"), "lo", "hi").applyInPandas(_compared(threshold), "a binary, b binary")
+        more = stored(more.distinct(), "links")
+        roots = components(links.unionByName(more)).withColumnRenamed("id", "key")
     known = nodes.select("key", "doc_id", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = stored(known, "roots")
     classes = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_copies"))

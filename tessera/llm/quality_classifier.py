@@ -5,7 +5,7 @@ One dictionary is built from labelled good text, the other from labelled bad tex
 rows that are in neither dictionary turns it into the probability of label 1.
 
 Only labelled rows outside the held-out fold (crc32(doc_id) mod 5 = 0) are learnt from, in a bounded sample:
-the first PER_CLASS rows of a label by hash of doc_id. Every text is scored whole.
+about PER_CLASS rows of a label, chosen by hash of doc_id. Every text is scored whole.
 
 Cases: a null text counts as empty; empty texts have the feature 0. Rows with the same doc_id are scored one
 by one. Without labelled text of both kinds the score is the share of label 1 among the rows learnt from,
@@ -24,9 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold
+from tessera.llm.common import fold, hash_sample
 
-#: Most labelled rows of each label that are learnt from: IN_DICTIONARY of them for the dictionary, the others to calibrate.
+#: Labelled rows of each label that are learnt from, about, if there are more: IN_DICTIONARY of them for the dictionary, the others to calibrate.
 PER_CLASS, IN_DICTIONARY = 4000, 1000
 #: Most bytes of a dictionary, and most characters of a text that goes into one.
 DICTIONARY_BYTES, LONGEST = 512 << 10, 20_000
@@ -98,12 +98,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = labels.where((fold("doc_id", SPLIT) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("quality"))  # a row twice, or with two labels: the higher
-    first = lambda q: ids.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
-    chosen = {r.doc_id: r.quality for q in (0, 1) for r in first(q).collect()}
+    chosen = {r.doc_id: r.quality for q in (0, 1) for r in hash_sample(ids.where(F.col("quality") == q), "doc_id", PER_CLASS).collect()}
     if not chosen:
         return Model(b"", b"", 0.0, 0.0)
     picked = docs.sparkSession.createDataFrame([(int(k), int(v)) for k, v in chosen.items()], "__id long, quality int")
-    # 2 * PER_CLASS rows at most
+    # about 2 * PER_CLASS rows
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).drop("__id")
     order, found = F.xxhash64("doc_id"), {}
     for q in (0, 1):
