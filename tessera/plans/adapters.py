@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import stored
+
 #: Quarterly members: the brands with the largest volume.
 MEMBERS = 20
 MARKET = "MKT"
@@ -41,7 +43,9 @@ class Inputs:
         rows = grid.join(seen, ["ticker", "ts"], "left")
         rows = rows.select("ticker", "ts", F.round(F.coalesce((F.col("d") - 0.05) / 5, F.lit(0.0)), 8).alias("r"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
         run = Window.partitionBy("ticker").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select("ticker", "ts", F.round(100 * F.exp(F.sum("r").over(run)), 6).alias("close"), "r", "volume")
+        panel = rows.select("ticker", "ts", F.round(100 * F.exp(F.sum("r").over(run)), 6).alias("close"), "r", "volume")
+        # every step of a query reads the panel: written once, it also keeps plans small
+        return stored(panel, "bars")
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -78,7 +82,7 @@ class Inputs:
         rows = volume.withColumn("rk", rank).where(F.col("rk") <= MEMBERS)
         rows = rows.select("ticker", F.lit("brands").alias("index_name"), F.add_months("q", 3).alias("as_of"))
         last = self.bars.agg(F.max("ts").alias("_last"))
-        return rows.crossJoin(F.broadcast(last)).where("as_of <= _last").drop("_last")
+        return stored(rows.crossJoin(F.broadcast(last)).where("as_of <= _last").drop("_last"), "snapshots")
 
     @cached_property
     def defective(self) -> DataFrame:

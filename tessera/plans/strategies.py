@@ -10,6 +10,7 @@ from tessera.operators.engine import Backtest
 from tessera.plans.adapters import Inputs, strategy_ctes, summary_sql, with_clause
 from tessera.plans.panels import rounded
 from tessera.plans.registry import query
+from tessera.sources.shared import stored
 
 B = 5
 MOM = strategy_ctes("mom", B)
@@ -20,7 +21,7 @@ def momentum(p: Inputs) -> DataFrame:
 
 
 def backtest(p: Inputs, n_buckets: int = B, long_short: bool = True, cost_bps: float = 10.0) -> Backtest:
-    weights = engine.signal_weights(momentum(p), p.days, n_buckets, long_short)
+    weights = stored(engine.signal_weights(momentum(p), p.days, n_buckets, long_short), "weights")  # read by each step of the accounting
     return engine.run_backtest(p.prices, weights, cost_bps)
 
 
