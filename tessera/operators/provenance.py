@@ -17,11 +17,16 @@ def numerals(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.withColumn("value", value).where(F.col("value").isNotNull())
 
 
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def variants(value: Column) -> Column:
     """The ways a result may be written: either sign, times or over 100, over the days of a year; each also rounded."""
     scaled = F.array(*[s for v in (value, -value) for s in (v, v * 100.0, v / 100.0, v / float(YEAR))])
-    rounded = F.flatten(F.array(scaled, *[F.transform(scaled, lambda x, k=k: F.bround(x, k)) for k in range(PLACES)]))
-    return F.array_distinct(rounded)
+    to = lambda k: F.transform(scaled, lambda x: F.bround(x, k))
+    rounded = F.flatten(F.array(scaled, *[to(k) for k in range(PLACES)]))
+    return F.filter(F.array_distinct(rounded), _finite)  # rounding very large numbers overflows
 
 
 def allowed(results: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -43,7 +48,7 @@ def check(notes: DataFrame, results: DataFrame, key: str) -> DataFrame:
     high = lambda v: v + TOLERANCE * 1.02 * F.greatest(F.lit(1.0), F.abs(v))
     cells = lambda v: F.array_distinct(F.array(cell(low(v)), cell(v), cell(high(v))))
     near = allowed(results, key).select(key, "candidate", F.explode(cells(F.col("candidate"))).alias("_cell"))
-    probe = said.where(~exempt).withColumn("_cell", cell(F.col("value")))
+    probe = said.where(~exempt & _finite(F.col("value"))).withColumn("_cell", cell(F.col("value")))
     hit = probe.join(near, [key, "_cell"]).where(F.abs(F.col("value") - F.col("candidate")) <= TOLERANCE * F.greatest(F.lit(1.0), F.abs("candidate")))
     hit = hit.select(key, "pos").distinct().withColumn("_hit", F.lit(True))
     status = F.when(exempt, "exempt").when(F.col("_hit"), "verified").otherwise("unverified")
