@@ -26,12 +26,12 @@ def decile_weights(signal: DataFrame, n_buckets: int = 10, long_short: bool = Tr
     day = Window.partitionBy(*by, "ts")
     scored = signal.where(F.col("sig").isNotNull())
     rank = F.row_number().over(day.orderBy(F.desc("sig"), F.asc("ticker")))
-    scored = scored.select(*by, "ts", "ticker", rank.alias("rk"), F.count(F.lit(1)).over(day).alias("n"))
-    scored = scored.withColumn("k", F.greatest(F.lit(1).cast("long"), F.expr(f"n div {int(n_buckets)}")))
-    w = F.when(F.col("rk") <= F.col("k"), 1 / F.col("k"))
+    scored = scored.select(*by, "ts", "ticker", rank.alias("_rk"), F.count(F.lit(1)).over(day).alias("_n"))
+    scored = scored.withColumn("_k", F.greatest(F.lit(1).cast("long"), F.expr(f"_n div {int(n_buckets)}")))
+    w = F.when(F.col("_rk") <= F.col("_k"), 1 / F.col("_k"))
     if long_short:
-        scored = scored.where("n >= 2")
-        w = w.when(F.col("rk") > F.col("n") - F.col("k"), -1 / F.col("k"))
+        scored = scored.where("_n >= 2")
+        w = w.when(F.col("_rk") > F.col("_n") - F.col("_k"), -1 / F.col("_k"))
     return scored.select(*by, "ts", "ticker", w.alias("w")).where(F.col("w").isNotNull())
 
 

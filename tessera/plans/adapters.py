@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import stored
+from tessera.sources.shared import steady, stored
 
 #: Quarterly members: the brands with the largest volume.
 MEMBERS = 20
@@ -21,7 +21,7 @@ class Inputs:
     """The tables of a folder and the panels over them, all lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = steady(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ from tessera.operators import diagnostics, engine, features, membership, metrics
 from tessera.plans.session import Session, SessionError
 from tessera.plans.suite import TRIAL_VARIANCE
 from tessera.sources import readers
-from tessera.sources.shared import stored
+from tessera.sources.shared import steady, stored
 from tessera.sources.sinks import plain
 
 UNIVERSES, REBALANCES, PREDICTIONS = ("current", "point_in_time"), ("monthly",), ("top_beats_bottom", "bottom_beats_top")
@@ -110,6 +110,7 @@ class Store:
 
 class Tools:
     def __init__(self, store: Store, session: Session | None = None):
+        steady(store.bars.sparkSession)
         self.store, self.session = store, session or Session()
         self.calls: dict[str, Callable[..., dict]] = {"fetch_data": self.fetch_data, "compute_feature": self.compute_feature, "run_backtest": self.run_backtest, "analyze_results": self.analyze_results}
 

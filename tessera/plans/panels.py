@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features, quality
 from tessera.plans.adapters import MARKET, Inputs, with_clause
-from tessera.plans.registry import query
+from tessera.plans.catalogue import query
 from tessera.sources import readers, sinks
 
 R = 8

@@ -9,7 +9,7 @@ from tessera.operators import diagnostics, engine, features, metrics, portfolio,
 from tessera.operators.engine import Backtest
 from tessera.plans.adapters import Inputs, strategy_ctes, summary_sql, with_clause
 from tessera.plans.panels import rounded
-from tessera.plans.registry import query
+from tessera.plans.catalogue import query
 from tessera.sources.shared import stored
 
 B = 5

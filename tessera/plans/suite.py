@@ -11,7 +11,7 @@ from tessera.functions import normal
 from tessera.operators import engine, features, membership, metrics, scoring, stats
 from tessera.plans.adapters import CTES, MARKET, NEEDS, Inputs, strategy_ctes, with_clause
 from tessera.plans.panels import LOGS, full, rounded
-from tessera.plans.registry import query
+from tessera.plans.catalogue import query
 from tessera.sources import sinks
 from tessera.sources.shared import stored
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import notes, provenance, quota
 from tessera.plans.adapters import Inputs
 from tessera.plans.panels import rounded
-from tessera.plans.registry import query
+from tessera.plans.catalogue import query
 
 _NUMERAL = provenance.NUMERAL
 _FOUND = "SELECT {0}, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS literal FROM (SELECT {0}, regexp_extract_all({1}, '" + _NUMERAL + "') AS l FROM {2})"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import engine, membership, metrics, portfolio, scoring
 from tessera.plans.adapters import Inputs, strategy_ctes, summary_sql, with_clause
 from tessera.plans.panels import FIRST, defects_sql, rounded
-from tessera.plans.registry import query
+from tessera.plans.catalogue import query
 from tessera.plans.strategies import B, SIX, momentum
 from tessera.sources.shared import stored
 

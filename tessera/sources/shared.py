@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """Turns off a Spark 4.1 shortcut that keeps the partitioning of a union's inputs.
+
+    With it a plan fails ("can't zip RDDs with unequal numbers of partitions") when adaptive execution has
+    coalesced the inputs differently.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
