@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dedup import near_dedup as classes
 
     kept = classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    out = docs.select(*_columns(docs)).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     # rows that share the doc_id as well as the text's words; nulls and all
     return out.withColumn("__words", F.xxhash64("text")).dropDuplicates(["doc_id", "__words"]).select(*_columns(docs))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import stored  # noqa: F401  for the operators
+
 #: The six ASCII white-space bytes that end a word: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,41 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset a temporary folder is made, in local mode only: there, one machine runs everything.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the JVM may have gone first
-        pass
-
-
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
-
-    The table goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    out = df.write
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of doc_id written as text, mod n; a null doc_id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))

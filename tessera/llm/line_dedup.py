@@ -9,7 +9,7 @@ up to min_docs and a lower bound beyond, where only the top matters.
 
 Cases: a row is a document; rows that share a doc_id count once each and, holding the largest doc_id, keep the
 line in each of them. A null doc_id counts as the smallest. A null or empty text is one empty line. A line that
-occurs often within one document counts once. Extra columns pass through.
+occurs often within one document counts once. Extra columns pass through, but for any named like the three that are added.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
+from tessera.sources.shared import steady
 
 #: White space that is stripped from a line's ends: space and U+0009 to U+000D.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -80,6 +81,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     Lines of at least min_chars code points (by key) in at least min_docs documents stay in the documents with
     the largest doc_id holding them and go from the others.
     """
+    steady(docs.sparkSession)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST))
     long = F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
     each = docs.select(order.alias("doc_id"), F.explode(F.array_distinct(F.transform(long, _hash))).alias("h"))
@@ -91,21 +93,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     runs = LineRuns(min_docs)
     for k in range(batches):
         runs.add(each.where(F.col("batch") == k))
-    index = runs.frequent()
+    index = stored(runs.frequent(), "line-index")  # both sides of the join are then plain shuffles, whose hot lines Spark can split
     drops = each.join(index, ["h1", "h2"]).where(F.col("doc_id") != F.col("top"))
     drops = drops.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
-    lines, names = _lines(F.col("text")), docs.columns
-    found = docs.withColumn("__order", order).join(drops, F.col("__order") == F.col("__doc"), "left")
+    # the row as one value: its columns can't clash with those of the join
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    rows = docs.select(F.struct(*own).alias("row"), order.alias("order"), _lines(F.col("text")).alias("lines"))
+    rows = rows.join(drops, F.col("order") == F.col("__doc"), "left")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         return (F.length(key) < min_chars) | ~F.array_contains(F.col("__drop"), _hash(key))
 
-    kept = F.filter(lines, stays)
-    out = found.withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(kept))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
-    return out.withColumn("kept_text", F.array_join("__kept", "\n")).select(*names, "n_lines", "n_dropped", "kept_text")
+    kept = F.when(F.col("__drop").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    rows = rows.select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    return rows.select("row.*", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
 
 #: The same in DuckDB's SQL, for documents.
