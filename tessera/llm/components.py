@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
+from tessera.sources.shared import steady
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -21,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are combined before the shuffle, and nodes with many neighbours meet only in joins, which adaptive
     execution splits. Self-links and repeated edges are allowed; without edges the result is empty.
     """
+    steady(edges.sparkSession)
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     while (now := _mark(edges)) != before:

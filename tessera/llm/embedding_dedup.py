@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_sample, stored
 from tessera.llm.components import components
+from tessera.sources.shared import steady
 
 COSINE = 0.98
 #: Vectors that the index is fitted on, about, if there are more, chosen by hash; k-means rounds; parts of a residual; codes of a part.
@@ -187,6 +188,7 @@ def _compare(index: Index, cosine: float, radius: float):
 def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links and component_id of every row."""
     radius = math.sqrt(2 - 2 * cosine)
+    steady(embeddings.sparkSession)  # else the blocks of a list stay together, as the list was dealt
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
     rows = stored(rows.mapInArrow(_clean, "vec_id long, label string, key binary, unit array<double>"), "vectors")
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.any_value("label").alias("label"), F.any_value("unit").alias("unit"), F.count(F.lit(1)).alias("n"))
