@@ -118,12 +118,12 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, n, data, offsets in text_chunks(batch.column(1)):
+        for at, n, data, offsets in text_chunks(batch.column(2)):
             owner, value, count, keys = shingle(data, offsets)
             sig = signatures(owner, value, 1 + np.log2(count), n, BANDS * ROWS)
             full = np.bincount(owner, minlength=n) > 0
             bands = _bands(sig[full], BANDS, ROWS).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), _binary(keys), _lists(bands, full * BANDS)], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in (0, 1)), _binary(keys), _lists(bands, full * BANDS)], ["doc_id", "text_hash", "key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +202,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and n_copies (rows of the class) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(docs.mapInArrow(_sketch, "doc_id long, key binary, bands array<long>"), "sketches")
+    """doc_id, text_hash, class_id (the smallest doc_id of its class) and n_copies (rows of the class) of every row.
+
+    text_hash is Spark's xxhash64 of the text: with doc_id it names the row.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = stored(docs.mapInArrow(_sketch, "doc_id long, text_hash long, key binary, bands array<long>"), "sketches")
     nodes = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes, "nodes")
     members = nodes.select("key", F.explode("bands").alias("bucket"))
@@ -232,8 +235,8 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rest = rest.join(live, "bucket").join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        # small buckets share a group, so many that a group has some 2,000 rows
-        groups = max(1, live.where("blocks = 1").count() // 500)
+        # small buckets share a group, some fifty of them: enough for one call, few enough to spread
+        groups = max(1, live.where("blocks = 1").count() // 50)
         small = F.when(F.col("blocks") == 1, F.pmod(F.col("bucket"), F.lit(groups))).otherwise(F.col("bucket"))
         more = rest.groupBy(small.alias("group"), (F.col("blocks") == 1).alias("is_small"), "lo", "hi").applyInPandas(_compared(threshold), "a binary, b binary")
         more = stored(more.distinct(), "links")
@@ -241,4 +244,28 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = nodes.select("key", "doc_id", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = stored(known, "roots")
     classes = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_copies"))
-    return rows.select("doc_id", "key").join(known.select("key", "root").join(classes, "root"), "key").select("doc_id", "class_id", "n_copies")
+    return rows.select("doc_id", "text_hash", "key").join(known.select("key", "root").join(classes, "root"), "key").select("doc_id", "text_hash", "class_id", "n_copies")
+
+
+#: The same in DuckDB's SQL, for small tables: all pairs that share a shingle, and reachability. Meant for tests.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), common AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE c >= 0.8e0 * (a.n + b.n - c) - 1e-9
+  UNION SELECT a.doc_id, b.doc_id FROM words a JOIN words b ON a.w = b.w AND a.doc_id < b.doc_id
+), ways AS MATERIALIZED (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ways.y FROM reach JOIN ways ON ways.x = reach.r
+), classes AS (
+  SELECT doc_id, min(r) AS class_id FROM reach GROUP BY 1
+)
+SELECT doc_id, class_id, CAST(count(*) OVER (PARTITION BY class_id) AS BIGINT) AS n_copies, doc_id = class_id AS kept FROM classes
+"""
