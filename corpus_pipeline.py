@@ -42,10 +42,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest doc_id; a repeated row stays once."""
     from tessera.llm.near_dedup import near_dedup as classes
 
-    kept = classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.select(*_columns(docs)).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    # rows that share the doc_id as well as the text's words; nulls and all
-    return out.withColumn("__words", F.xxhash64("text")).dropDuplicates(["doc_id", "__words"]).select(*_columns(docs))
+    kept = classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    out = docs.select(*_columns(docs)).withColumn("__text", F.xxhash64("text"))
+    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    return out.dropDuplicates(["doc_id", "__text"]).select(*_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

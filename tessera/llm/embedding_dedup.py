@@ -229,3 +229,20 @@ def _links(nodes: DataFrame, index: Index, cosine: float, radius: float) -> Data
     queries = sized.select(*common, sliced("nq").alias("q"), every("nl").alias("l"), F.lit(True).alias("is_query"))
     both = entries.unionByName(queries)
     return both.groupBy("label", "cell", "l", "q").applyInPandas(_compare(index, cosine, radius), "a binary, b binary, n long")
+
+
+#: The same in DuckDB's SQL, for small tables of whole vectors: all pairs of a label, and reachability. Meant for tests.
+SQL = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98e0
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM vectors UNION SELECT reach.vec_id, links.y FROM reach JOIN links ON links.x = reach.r
+), roots AS (
+  SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1
+), counts AS (
+  SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM roots LEFT JOIN counts USING (vec_id)
+"""

@@ -49,7 +49,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tessera.llm.near_dedup import near_dedup
 
-    return near_dedup(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    out = near_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def _classes(rows, threshold=0.8):
 def test_near_dedup(spark, docs):
     from tessera.llm.near_dedup import near_dedup
 
-    got = sorted((tuple(r) for r in near_dedup(docs).collect()), key=repr)
+    got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in near_dedup(docs).collect()), key=repr)
     assert got == _classes(pairs(docs))
     assert near_dedup(docs.limit(0)).count() == 0
 
@@ -203,7 +203,7 @@ def test_near_dedup_of_a_large_group(spark):
         for at in rng.choice(150, int(rng.integers(0, 12)), replace=False):
             own[at] = f"x{rng.integers(1 << 30)}"
         rows.append((d, " ".join(own)))
-    got = sorted((tuple(r) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=repr)
+    got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=repr)
     assert got == _classes(rows)
 
 
@@ -403,6 +403,12 @@ def test_pipeline(spark, docs, labels, tmp_path):
             stage = spark.read.parquet(path)
     rows = [r for r in stage.collect() if r.doc_id in (0, 20, 21, 22)]
     assert [r.doc_id for r in rows] in ([0], []), seen  # one of the copies stays
+    stages = dict(corpus_pipeline.STAGES)
+    cut = [(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest(), r.n_chars == len(r.text)) for r in stages["line_dedup"](spark, docs, str(tmp_path)).collect()]
+    assert sorted(cut, key=repr) == sorted(((d, sha, True) for d, _, _, sha in _deduped(pairs(docs))), key=repr)
+    left = [r.doc_id for r in stages["near_dedup"](spark, docs, str(tmp_path)).collect()]
+    # the null text is a copy of the empty ones; the other null doc_id is a class of its own
+    assert sorted(left, key=repr) == sorted({c for _, c, _ in _classes(pairs(docs))}, key=repr)
     for name in ("quality_rules", "line_dedup", "near_dedup"):
         f = dict(corpus_pipeline.STAGES)[name]
         assert f(spark, docs.limit(0), str(tmp_path)).count() == 0
