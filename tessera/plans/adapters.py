@@ -35,7 +35,7 @@ class Inputs:
         return rows.agg(F.avg("l_discount").alias("d"), F.sum("l_quantity").alias("volume"), F.avg("l_extendedprice").alias("price"))
 
     @cached_property
-    def bars(self) -> DataFrame:
+    def panel(self) -> DataFrame:
         """(ticker, ts, close, r, volume): every brand on every ship date, prices compounded from the mean discount."""
         seen = self.brand_days
         # dates times brands: the panel itself, which is dense by definition
@@ -43,9 +43,17 @@ class Inputs:
         rows = grid.join(seen, ["ticker", "ts"], "left")
         rows = rows.select("ticker", "ts", F.round(F.coalesce((F.col("d") - 0.05) / 5, F.lit(0.0)), 8).alias("r"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
         run = Window.partitionBy("ticker").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        panel = rows.select("ticker", "ts", F.round(100 * F.exp(F.sum("r").over(run)), 6).alias("close"), "r", "volume")
-        # every step of a query reads the panel: written once, it also keeps plans small
-        return stored(panel, "bars")
+        return rows.select("ticker", "ts", F.round(100 * F.exp(F.sum("r").over(run)), 6).alias("close"), "r", "volume")
+
+    @cached_property
+    def fresh(self) -> DataFrame:
+        """The panel's prices, for queries that read them once."""
+        return self.panel.select("ticker", "ts", "close")
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        """The panel for queries whose every step reads it: written once, which also keeps plans small."""
+        return stored(self.panel, "bars")
 
     @cached_property
     def prices(self) -> DataFrame:

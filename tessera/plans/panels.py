@@ -19,7 +19,7 @@ def rounded(df: DataFrame, *columns: str, places: int = R) -> DataFrame:
 
 @query(with_clause("SELECT ticker, ts, close FROM bars WHERE ticker IN ('Brand#11', 'Brand#23', 'Brand#45') AND ts BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'", ["bars"]))
 def scan_filter_project(p: Inputs) -> DataFrame:
-    return readers.load_prices(p.bars, tickers=["Brand#11", "Brand#23", "Brand#45"], start="1996-01-01", end="1997-12-31")
+    return readers.load_prices(p.panel, tickers=["Brand#11", "Brand#23", "Brand#45"], start="1996-01-01", end="1997-12-31")
 
 
 @query(with_clause("SELECT ticker, CAST(count(*) AS BIGINT) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM raw GROUP BY 1", ["raw"]))
@@ -101,7 +101,7 @@ _R = "close / nullif(lag(close, {0}) OVER w, 0) - 1"
 @query(with_clause(f"""SELECT ticker, ts, round({_R.format(1)}, 8) AS ret_1d, round({_R.format(5)}, 8) AS ret_5d, round({_R.format(21)}, 8) AS ret_21d, round(ln(close / lag(close) OVER w), 8) AS logret_1d
 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)""", ["bars"]))
 def simple_returns(p: Inputs) -> DataFrame:
-    out = p.prices
+    out = p.fresh
     for add in (features.returns(1), features.returns(5), features.returns(21), features.log_returns):
         out = out.transform(add)
     return rounded(out, "ret_1d", "ret_5d", "ret_21d", "logret_1d").drop("close")
@@ -118,19 +118,19 @@ _LOG = "SELECT *, ln(close / c1) AS x FROM lagged"
 
 @query(with_clause(f"SELECT ticker, ts, round({full('stddev_samp(x)', 'x', 21)} * sqrt(252e0), 8) AS vol_21d, round({full('stddev_samp(x)', 'x', 63)} * sqrt(252e0), 8) AS vol_63d FROM ({_LOG})", ["lagged"]))
 def rolling_vol(p: Inputs) -> DataFrame:
-    out = p.prices.transform(features.volatility(21)).transform(features.volatility(63))
+    out = p.fresh.transform(features.volatility(21)).transform(features.volatility(63))
     return rounded(out, "vol_21d", "vol_63d").select("ticker", "ts", "vol_21d", "vol_63d")
 
 
 @query(with_clause("SELECT ticker, ts, round(c21 / nullif(c252, 0) - 1, 8) AS mom_12_1, round(c252 / nullif(c756, 0) - 1, 8) AS rev_36_12 FROM lagged", ["lagged"]))
 def momentum_reversal(p: Inputs) -> DataFrame:
-    out = p.prices.transform(features.momentum_12_1).transform(features.reversal_36_12)
+    out = p.fresh.transform(features.momentum_12_1).transform(features.reversal_36_12)
     return rounded(out, "mom_12_1", "rev_36_12").drop("close")
 
 
 @query(with_clause(f"SELECT ticker, ts, round(close / {full('max(close)', 'close', 252)}, 8) AS pct_252d_high FROM bars", ["bars"]))
 def pct_high(p: Inputs) -> DataFrame:
-    return rounded(p.prices.transform(features.share_of_high()), "pct_252d_high").drop("close")
+    return rounded(p.fresh.transform(features.share_of_high()), "pct_252d_high").drop("close")
 
 
 _IVOL = f"""SELECT ticker, ts, CASE WHEN mm > 0 AND rr - rm / mm * rm >= 0 AND ticker <> 'MKT' THEN round(sqrt((rr - rm / mm * rm) / 62e0) * sqrt(252e0), 6) END AS ivol_63d FROM (
@@ -149,7 +149,7 @@ def idio_vol(p: Inputs) -> DataFrame:
   round((sig - {full('avg(sig)', 'sig', 252)}) / nullif({full('stddev_samp(sig)', 'sig', 252)}, 0), 6) AS z_mom_12_1
 FROM bars JOIN mom USING (ticker, ts)""", ["bars", "mom"]))
 def sma_zscore(p: Inputs) -> DataFrame:
-    out = p.prices
+    out = p.fresh
     for add in (features.moving_average(50), features.moving_average(200), features.momentum_12_1, features.z_score("mom_12_1")):
         out = out.transform(add)
     # places at which means of six-digit prices have no ties
@@ -163,14 +163,14 @@ def sma_zscore(p: Inputs) -> DataFrame:
   SELECT l.*, ln(close / c1) AS x, c21 / c252 - 1 AS sig, close / c21 - 1 AS ret_21d FROM lagged l)) GROUP BY 1""", ["lagged"]))
 def standard_features(p: Inputs) -> DataFrame:
     """How far each of the standard features reaches back, per series."""
-    out = p.prices.transform(features.standard)
+    out = p.fresh.transform(features.standard)
     n = lambda c, a: F.count(c).alias(a)
     return out.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), n("ret_21d", "n_ret"), n("vol_63d", "n_vol"), n("mom_12_1", "n_mom"), n("sma_200d", "n_sma"), n("z_mom_12_1", "n_z"))
 
 
 @query(with_clause("SELECT ticker, ts, round(fwd_ret, 8) AS fwd_ret FROM fwd", ["fwd"]))
 def forward_returns(p: Inputs) -> DataFrame:
-    return rounded(features.forward_returns(p.prices), "fwd_ret")
+    return rounded(features.forward_returns(p.fresh), "fwd_ret")
 
 
 @query("""WITH s AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS ts, avg(l_extendedprice) AS close FROM lineitem GROUP BY 1, 2)
