@@ -5,10 +5,11 @@ One dictionary is built from labelled good text, the other from labelled bad tex
 rows that are in neither dictionary turns it into the probability of label 1.
 
 Only labelled rows outside the held-out fold (crc32(doc_id) mod 5 = 0) are learnt from, in a bounded sample:
-about PER_CLASS rows of a label, chosen by hash of doc_id. Every text is scored whole.
+about PER_CLASS rows of a label, chosen by hash of doc_id, of which at most half go into the dictionary. Every
+text is scored whole.
 
 Cases: a null text counts as empty; empty texts have the feature 0. Rows with the same doc_id are scored one
-by one. Without labelled text of both kinds the score is the share of label 1 among the rows learnt from,
+by one. Without labelled text of both kinds, two rows each, the score is the share of label 1 among the rows learnt from,
 with one added to each count. Extra columns are ignored.
 """
 
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fold, hash_sample
 
-#: Labelled rows of each label that are learnt from, about, if there are more: IN_DICTIONARY of them for the dictionary, the others to calibrate.
-PER_CLASS, IN_DICTIONARY = 4000, 1000
+#: Labelled rows of each label that are learnt from, about, if there are more; one in SHARE of them, and at most IN_DICTIONARY, is for the
+#: dictionary, the others are to calibrate: some of either label at every size.
+PER_CLASS, IN_DICTIONARY, SHARE = 4000, 1000, 2
 #: Most bytes of a dictionary, and most characters of a text that goes into one.
 DICTIONARY_BYTES, LONGEST = 512 << 10, 20_000
 LEVEL = 9
@@ -105,9 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # about 2 * PER_CLASS rows
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).drop("__id")
     order, found = F.xxhash64("doc_id"), {}
+    there = {r.quality: r.n for r in rows.groupBy("quality").agg(F.countDistinct("doc_id").alias("n")).collect()}
     for q in (0, 1):
         short = rows.where((F.col("quality") == q) & (F.length("text").between(1, LONGEST)))
-        found[q] = short.orderBy(order, "doc_id", "text").limit(IN_DICTIONARY).collect()
+        most = min(IN_DICTIONARY, max(1, there.get(q, 0) // SHARE))
+        found[q] = short.orderBy(order, "doc_id", "text").limit(most).collect()
     good, bad = (_dictionary([r.text for r in found[q]]) for q in (1, 0))
     used = {r.doc_id for q in (0, 1) for r in found[q]}
     rest = picked.where(~F.col("__id").isin(*used)) if len(used) < len(chosen) else picked

@@ -132,6 +132,16 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert auc > 0.97 and ((s >= 0.3) == y).mean() > 0.95 and (s[y == 1] >= 0.3).mean() > 0.97
 
 
+def test_quality_classifier_decides_on_few_labels(spark):
+    """282 and 47 rows to learn from: some of each label stay for the calibration."""
+    from tessera.llm.quality_classifier import quality_classifier
+
+    sf = "/root/testdata/sf0.01"
+    scored = quality_classifier(table(spark, sf, "documents"), table(spark, sf, "labels")).where("held_out").join(table(spark, sf, "labels"), "doc_id").where("quality is not null").collect()
+    y, s = np.array([r.quality for r in scored]), np.array([r.score for r in scored])
+    assert len(set(s)) > 1 and ((s >= 0.3) == y).mean() > 0.9 and (s[y == 0] < 0.3).mean() > 0.5 and (s[y == 1] >= 0.3).mean() > 0.97
+
+
 def _deduped(rows):
     lines = [(d, (t or "").split("\n")) for d, t in rows]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
