@@ -21,10 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
+    """Documents that the classifier, learnt from all labelled documents and not only those that came this far, predicts to be good."""
     from tessera.llm import quality_classifier as classifier
 
-    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    model = classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     kept = docs.select(*_columns(docs)).withColumn("__whole", F.col("text"))
     return classifier.apply(kept, model).where("predicted = 1").withColumnRenamed("__whole", "text").select(*_columns(docs))
 

@@ -424,6 +424,18 @@ def test_pipeline(spark, docs, labels, tmp_path):
         assert f(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_the_pipeline_classifier_learns_from_rows_that_it_is_not_given(spark):
+    """The stage gets held-out rows alone: none that it may learn from."""
+    import corpus_pipeline
+    from tessera.llm.common import fold
+
+    sf = "/root/testdata/sf0.01"
+    given = table(spark, sf, "documents").where(fold("doc_id", 5) == 0).join(table(spark, sf, "labels").where("quality is not null").select("doc_id", "quality"), "doc_id")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality_classifier"](spark, given, sf).select("doc_id").collect()}
+    rows = [(r.doc_id in kept, r.quality) for r in given.select("doc_id", "quality").collect()]
+    assert np.mean([k for k, q in rows if q == 1]) > 0.97 and np.mean([k for k, q in rows if q == 0]) < 0.5
+
+
 def test_queries_are_registered():
     queries = importlib.import_module("__spark_entry__").queries()
     assert all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11)) and "pipeline" in queries
