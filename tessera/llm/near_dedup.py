@@ -1,12 +1,13 @@
 """MinHash near-dedup: ProbMinHash signatures, banding, exact verification, components.
 
 A text's elements are its 5-word shingles (words: runs without ASCII white space, A-Z lower-cased; a text of
-1 to 4 words is one shingle). An element's weight is 1 + log2 of its count. Each element draws the arrival
-times of a Poisson process whose rate is its weight; every arrival goes to a random register, which keeps the
-earliest, and an element stops as soon as its time passes the latest register of its text. The share of equal
-registers estimates the probability Jaccard of the weighted sets. BANDS groups of ROWS registers are the
-buckets in which candidates meet; a candidate pair is linked if the Jaccard similarity of the two shingle sets
-is at least the threshold, computed exactly on 64-bit hashes.
+1 to 4 words is one shingle). Each element draws the arrival times of a Poisson process whose rate is its
+weight; every arrival goes to a random register, which keeps the earliest, and an element stops as soon as its
+time passes the latest register of its text. The share of equal registers estimates the probability Jaccard of
+the weighted sets. All weights are 1, however often a text repeats a shingle: so it is the Jaccard similarity of
+the sets, the one that is verified. BANDS groups of ROWS registers are the buckets in which candidates meet; a
+candidate pair is linked if the Jaccard similarity of the two shingle sets is at least the threshold, computed
+exactly on 64-bit hashes.
 
 Texts with the same words are one node from the start. First the nodes of a bucket are compared with one leader,
 the node that meets most others. The buckets that still hold several components are then compared in full, in
@@ -119,8 +120,8 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, n, data, offsets in text_chunks(batch.column(2)):
-            owner, value, count, keys = shingle(data, offsets)
-            sig = signatures(owner, value, 1 + np.log2(count), n, BANDS * ROWS)
+            owner, value, _, keys = shingle(data, offsets)
+            sig = signatures(owner, value, np.ones(len(value)), n, BANDS * ROWS)
             full = np.bincount(owner, minlength=n) > 0
             bands = _bands(sig[full], BANDS, ROWS).ravel()
             yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in (0, 1)), _binary(keys), _lists(bands, full * BANDS)], ["doc_id", "text_hash", "key", "bands"])
