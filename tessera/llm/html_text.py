@@ -9,7 +9,10 @@ beside it join if they reach the threshold and hold prose that isn't mostly link
 
 Elements that are never content go before densities are taken: scripts and styles; nav, aside, footer, forms
 and the like; elements that are hidden or whose class, id or role says menu, advert, notice, comments and so on.
-A header goes too, unless it is inside an article and holds a heading.
+A header goes too, unless it is inside an article and holds a heading. A class, id or role drops no wrapper of
+the content, whatever it says: no element that contains the main element, or an article when no other article
+stands free of such elements, and none that holds most of the body's text outside links, unless the page has an
+article or main elsewhere. The densities decide on those.
 
 Text: character references are decoded, white space inside a block becomes one space, a line break is white
 space, blocks are joined by two line breaks. Nothing else is dropped.
@@ -58,10 +61,10 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "link", "name", "parent", "texts", "inner_tags", "link_tags", "c", "lc", "t", "lt", "total")
+    __slots__ = ("children", "dropped", "marked", "link", "name", "parent", "texts", "inner_tags", "link_tags", "c", "lc", "t", "lt", "total")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped
+    def __init__(self, name: str, parent: Node | None, dropped: bool, marked: bool = False):
+        self.name, self.parent, self.dropped, self.marked = name, parent, dropped, marked
         self.children: list[Node] = []
         #: Text, and child nodes at their place.
         self.texts: list[str | Node] = []
@@ -69,21 +72,22 @@ class Node:
         self.link = 0
 
 
-def _is_dropped(name: str, rest: str) -> bool:
+def _is_dropped(name: str, rest: str) -> tuple[bool, bool]:
+    """Whether an element is never content, and whether its class, id or role marks it."""
+    marked = False
     if name in DROPPED:
-        return True
+        return True, False
     if "=" in rest or "hidden" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
             key, value = key.lower(), a or b or c
             if key in ("class", "id", "role"):
-                if any(w.lower() in MARKS for w in WORD.findall(value)):
-                    return True
+                marked = marked or any(w.lower() in MARKS for w in WORD.findall(value))
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return True, marked
             elif key == "aria-hidden" and value.lower() == "true":
-                return True
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(" ", rest)))
-    return False
+                return True, marked
+        return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(" ", rest))), marked
+    return False, False
 
 
 def parse(page: str) -> Node:
@@ -139,7 +143,7 @@ def parse(page: str) -> Node:
                 links = 1
                 node.link_tags += 1
             if name not in EMPTY and not rest.endswith("/"):
-                open_inline.append((name, _is_dropped(name, rest)))
+                open_inline.append((name, any(_is_dropped(name, rest))))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -153,7 +157,7 @@ def parse(page: str) -> Node:
             if name in group and up.name in group:
                 up = up.parent
         close(up)
-        child = Node(name, node, _is_dropped(name, rest))
+        child = Node(name, node, *_is_dropped(name, rest))
         if child.dropped and name not in DROPPED and name in ("html", "body", "article", "main"):
             child.dropped = False  # a page's own class says nothing about all of it
         node.children.append(child)
@@ -186,7 +190,43 @@ def _inside(node: Node | None, names: tuple[str, ...]) -> Node | None:
     return found
 
 
+def _judge_marked(root: Node) -> None:
+    """Drops the marked elements that aren't wrappers of the content."""
+    order, todo = [], [root]
+    while todo:  # parents before their children
+        n = todo.pop()
+        order.append(n)
+        todo += [x for x in n.children if not x.dropped]
+    whole = ("html", "body", "article", "main")  # a page's own class says nothing about all of it
+    marked = {id(n) for n in order if n.marked and n.name not in whole}
+    if not marked:
+        return
+    holds = {id(n) for n in order if n.name == "main" or n.name == "article" and not n.marked}
+    # of each node: whether a marked element is above it, the holders above it, and those of them that stand free
+    above = {id(root): (False, 0, 0)}
+    free = 0
+    for n in order:
+        under, holders, free_holders = above[id(n)]
+        own = id(n) in holds
+        free += own and not under
+        below = (under or id(n) in marked, holders + own, free_holders + (own and not under))
+        above.update((id(x), below) for x in n.children)
+    prose, mains, articles = {}, {}, {}
+    for n in reversed(order):
+        own = sum(len(" ".join(x.split())) for x in n.texts if isinstance(x, str))
+        prose[id(n)] = own - n.link + sum(prose.get(id(x), 0) for x in n.children)
+        mains[id(n)] = (n.name == "main") + sum(mains.get(id(x), 0) for x in n.children)
+        articles[id(n)] = (id(n) in holds) + sum(articles.get(id(x), 0) for x in n.children)
+    body = next((n for n in order if n.name == "body"), root)
+    for n in order:
+        if id(n) in marked:
+            _, holders, free_holders = above[id(n)]
+            wraps = mains[id(n)] or articles[id(n)] and free_holders == free
+            n.dropped = not (wraps or 2 * prose[id(n)] > prose[id(body)] and (holders or not holds))
+
+
 def _prune(root: Node) -> None:
+    _judge_marked(root)
     for n in list(_all(root)):
         if n.name == "header" and not (_inside(n.parent, ("article", "main")) and any(x.name in ("h1", "h2", "h3") for x in _all(n))):
             n.dropped = True

@@ -38,6 +38,22 @@ def test_html():
     assert main_text("plain") == "plain" and main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_wrappers_of_the_content():
+    from tessera.llm.html_text import main_text
+
+    prose = "<p>" + "A long paragraph of plain prose that says something. " * 5 + "</p>"
+    ad = '<div class="ad">Buy this now</div><div class="sidebar"><p>On the side.</p></div>'
+    for start, end in (('<div class="content-sidebar-wrap"><main>', "</main></div>"), ('<div class="layout has-sidebar"><article>', "</article></div>"), ('<div id="content" class="no-sidebar">', "</div>"),
+                       ('<article><section class="related-work">', "</section></article>"), ('<main><div class="has-sidebar"><article>', "</article></div></main>")):
+        got = main_text(f"<body>{ad}{start}{prose}{prose}{end}{ad}</body>")
+        assert got.count("plain prose") == 10 and "Buy" not in got and "side." not in got, start
+    # marked elements beside the content go as before, with articles in them or longer than it
+    for beside in (f'<div class="related"><article>{prose}{prose}</article></div>', f'<section id="comments">{prose * 4}</section>', f"<aside><article>{prose * 4}</article></aside>"):
+        assert main_text(f"<body><article><h1>Title</h1><p>The text.</p></article>{beside}</body>") == "Title\n\nThe text."
+    deep = '<div class="ad">' * 20_000
+    assert main_text(deep + "<main><p>deep</main>") == "deep"
+
+
 def test_html_table(spark):
     from tessera.llm.html_text import extract
 
