@@ -7,6 +7,8 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
+from tests.helpers import weekdays
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
 
@@ -23,19 +25,6 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-def weekdays(n: int, start: dt.date = dt.date(2024, 1, 1)) -> list[dt.date]:
-    out, day = [], start
-    while len(out) < n:
-        if day.weekday() < 5:
-            out.append(day)
-        day += dt.timedelta(1)
-    return out
-
-
-def rows(df) -> list[tuple]:
-    return sorted((tuple(r) for r in df.collect()), key=repr)
-
-
 @pytest.fixture(scope="session")
 def panel_of(spark):
     """A panel from {ticker: closes} on consecutive weekdays."""

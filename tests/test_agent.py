@@ -1,7 +1,7 @@
 """The loop with a scripted client, and the command line."""
 
 import pytest
-from conftest import weekdays
+from tests.helpers import weekdays
 
 from tessera.__main__ import main
 from tessera.plans import agent, api

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows, weekdays
+from tests.helpers import rows, weekdays
 from pyspark.sql import functions as F
 
 from tessera.operators import engine, features, metrics, portfolio

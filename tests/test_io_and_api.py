@@ -8,7 +8,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import rows, weekdays
+from tests.helpers import rows, weekdays
 from pyspark.sql import functions as F
 
 import __spark_entry__

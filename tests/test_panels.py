@@ -3,7 +3,7 @@
 import datetime as dt
 import math
 
-from conftest import rows, weekdays
+from tests.helpers import rows, weekdays
 from pyspark.sql import functions as F
 
 from tessera.functions.windows import asof_by_key, latest_mark

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import weekdays
+from tests.helpers import weekdays
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
