@@ -63,37 +63,40 @@ def test_html_table(spark):
 
 
 def _rotated(rows):
+    """Whole dialogues: (conversation, speaker) to text and mask; a message without a place is one of its own."""
     convs = defaultdict(set)
     for c, t, role, text in rows:
-        convs[c].add((t, role or "unknown", text or ""))
-    out = {}
-    for c, turns in convs.items():
+        convs[(c, None) if c is not None and t is not None else (c, (t, role, text))].add((t, role or "unknown", text or ""))
+    out = []
+    for (c, _), turns in convs.items():
         for me in {r for _, r, _ in turns} - {"system"}:
-            pieces = defaultdict(list)
-            for t in sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])):
-                pieces[math.floor((t[0] or 0) / 64)].append(t)
-            for k, part in pieces.items():
-                text, mask = "", []
-                for _, r, x in part:
-                    head = "<|im_start|>assistant\n" if r == me else "<|im_start|>system\n" if r == "system" else f"<|im_start|>user name={r}\n"
-                    if r == me:
-                        mask.append((len(text) + len(head), len(text) + len(head) + len(x) + 10))
-                    text += head + x + "<|im_end|>\n"
-                out[c, me, k] = (text, mask)
-    return out
-
-
-def test_chat(spark):
-    from tessera.llm.chat_format import rotate
+            text, mask = "", []
+            for _, r, x in sorted(turns, key=lambda x: (x[0] or 0, x[1], x[2])):
+                head = "<|im_start|>assistant\n" if r == me else "<|im_start|>system\n" if r == "system" else f"<|im_start|>user name={r}\n"
+                if r == me:
+                    mask.append((len(text) + len(head), len(text) + len(head) + len(x) + 10))
+                text += head + x + "<|im_end|>\n"
+            out.append((c, me, len(turns), len(mask), text, mask))
+    return sorted(out, key=repr)
+
+
+def test_chat(spark, monkeypatch):
+    from tessera.llm import chat_format as chat
 
+    monkeypatch.setattr(chat, "BLOCK", 2)  # several windows a dialogue
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hé ☃"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 2, "ann", "tie"), (1, 130, "cid", "late"), (2, None, None, "x"), (2, 0, "ann", ""), (None, 3, "ann", "no conversation"), (3, 0, "system", "alone"), (4, -1, "ann", "before")]
-    rows += [(5, t, "ab"[t % 2], f"turn {t} " * 9) for t in range(300)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, speaker int")
-    got = {(r.conv_id, r.speaker, r.piece): (r.text, [tuple(s) for s in r.mask]) for r in rotate(df).collect()}
-    assert got == _rotated(rows)
-    for (_, me, _), (text, mask) in got.items():
-        assert all(text[a:b].endswith("<|im_end|>") and text[:a].endswith("<|im_start|>assistant\n") for a, b in mask)
-    assert rotate(df.limit(0)).count() == 0
+    rows += [(None, None, "ann", f"{k}") for k in range(20)] + [(None, None, "system", "s"), (None, 3, "ann", "no conversation")]
+    rows += [(5, t, "ab"[t % 2], f"turn {t} " * 9) for t in range(300)] + [(6, 5, "ann", "long " * 300_000), (6, 70, "bob", "é" * 1_200_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, speaker int").repartition(3)
+    pieces = chat.rotate(df)
+    got = [(r.conv_id, r.speaker, r.n_turns, r.n_own, r.text, [tuple(s) for s in r.mask]) for r in chat.whole(pieces).collect()]
+    assert sorted(got, key=repr) == _rotated(rows)
+    assert all(text[a:b].endswith("<|im_end|>") and text[:a].endswith("<|im_start|>assistant\n") for *_, text, mask in got for a, b in mask)
+    # a dialogue of 300 turns lies in five pieces, each where it belongs
+    five = sorted((r.piece, r.start, r.text) for r in pieces.where("conv_id = 5 and speaker = 'a'").collect())
+    (text,) = (t for c, me, _, _, t, _ in got if (c, me) == (5, "a"))
+    assert len(five) == 5 and all(text[at : at + len(t)] == t for _, at, t in five)
+    assert chat.rotate(df.limit(0)).count() == 0
 
 
 def test_language_model(spark, docs):
