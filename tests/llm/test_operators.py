@@ -117,17 +117,72 @@ def test_language_model(spark, docs):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
-def test_language_model_is_normalised_and_learns(spark, monkeypatch):
+def test_language_model_scores_word_by_word(spark, monkeypatch):
+    """The model's probabilities of whole texts, from its parameters in plain Python; normalised after training; better than the base."""
     from tessera.llm import language_model as lm
 
-    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
-    rows = lm.score_documents(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    assert rows.s > rows.b  # log probabilities of texts that weren't learnt from
+    monkeypatch.setattr(lm, "HOT", 2000)  # words beyond the table
+    seen, fitted = [], lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda *a: seen.append(fitted(*a)) or seen[0])
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "w" * 100 + " and then " + "W" * 100), (-2, None)], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    (m,) = seen
+    texts = {d: WORD.findall((t or "").translate(LOW)) for d, t in pairs(docs)}
+    name = lambda w: w if len(w.encode()) <= 64 else "\0" + hashlib.blake2b(w.encode(), digest_size=16).hexdigest()
+    counts = Counter(name(w) for d, x in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in x)
+    place = {w: k for k, w in enumerate(m.hot_words.to_pylist())}
+    import pyarrow as pa
+
+    suffix = dict(zip(all_words := sorted({name(w) for x in texts.values() for w in x}), lm.bucket(pa.array(all_words, pa.large_string())).tolist()))
+    kind = lambda w: lm.END if w is None else int(m.kind[place[w]]) if w in place else suffix[w]
+    rest = defaultdict(list)
+    for w, c in counts.items():
+        if w not in place:
+            rest[suffix[w]].append(c)
+    w64 = {k: v.astype(float) for k, v in m.weights.items()}
+
+    def softmax(x):
+        return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def log_p(w, context):
+        h = sum(w64["scale"][k] * w64["context"][c] for k, c in enumerate(context))
+        k = kind(w)
+        out = math.log10(softmax(w64["target"] @ h + w64["bias"])[k])
+        if lm.TOP <= k < lm.END:
+            inner = w64["words"][m.first[k] : m.first[k + 1]]
+            own = m.spot[place[w]] - m.first[k] if w in place else 0
+            out += math.log10(softmax(inner[:, :-1] @ h + inner[:, -1])[own])
+            if w not in place:
+                out += math.log10((counts[w] + 1) / (sum(rest[k]) + len(rest[k]) + 1))
+        return out
+
+    for d in [-1, -2, *sorted(d for d in texts if 20 < len(texts[d]) < 200)[:12]]:
+        tokens = [*map(name, texts[d]), None]
+        want = sum(log_p(w, [kind(tokens[i - k]) if i >= k else lm.END for k in range(1, lm.CONTEXT + 1)]) for i, w in enumerate(tokens))
+        assert math.isclose(rows[d].score, want, rel_tol=1e-3, abs_tol=1e-2), d
     rng = np.random.default_rng(0)
-    w = lm.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
     context = np.repeat(rng.integers(0, lm.CLASSES, (5, lm.CONTEXT)), lm.CLASSES, 0)
-    p = 10 ** lm.log_probabilities(np.tile(np.arange(lm.CLASSES), 5), context, w)
+    p = 10 ** lm.log_probabilities(np.tile(np.arange(lm.CLASSES), 5), context, np.full(5 * lm.CLASSES, -1), m)
     assert np.allclose(p.reshape(5, -1).sum(1), 1, atol=1e-4)
+    k = lm.TOP + int(np.argmax(np.diff(m.first)[lm.TOP : lm.END]))
+    outputs = np.arange(m.first[k], m.first[k + 1])
+    context = np.repeat(rng.integers(0, lm.CLASSES, (1, lm.CONTEXT)), len(outputs), 0)
+    both = [10 ** lm.log_probabilities(np.full(len(outputs), k), context, s, m) for s in (outputs, np.full(len(outputs), -1))]
+    assert len(outputs) > 5 and math.isclose((both[0] / both[1]).sum(), 1, abs_tol=1e-4)
+    held = [r for r in rows.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_language_model_learns_from_more(spark):
+    """Held-out log10 a token at sf0.01: above the base, and above the model before training."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import language_model as lm
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    r = lm.score_documents(docs).where("held_out").agg(*(F.sum(c).alias(c) for c in ("score", "base_score", "n_tokens"))).first()
+    assert r.score / r.n_tokens > r.base_score / r.n_tokens + 0.08
 
 
 def test_quality_classifier(spark, docs, labels):
