@@ -84,17 +84,19 @@ def deflate(rows: DataFrame, n_trials: int, variance: float, confidence: float =
     return rows.withColumns({"psr": above(0.0), "emax": F.lit(emax), "dsr": above(emax), "min_trl": length, "p": p})
 
 
-def correct(rows: DataFrame, alpha: float = 0.05, p: str = "p", order: Sequence[str] = ("key",)) -> DataFrame:
+def correct(rows: DataFrame, alpha: float = 0.05, p: str = "p", order: Sequence[str] = ("key",), by: Sequence[str] = ()) -> DataFrame:
     """rows with bh_adj, holm_adj, bh_reject, holm_reject; rows without p take no part and get nulls.
 
-    One suite is a handful of rows, so its windows have no partition.
+    `by` names the family that is corrected together. A family is ranked as a whole, so it is one group of its
+    windows; a single suite is a handful of rows.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
-    tested, rank = F.col(p).isNotNull(), Window.orderBy(F.col(p).asc_nulls_last(), *order)
-    out = rows.withColumn("_j", F.row_number().over(rank)).withColumn("_m", F.count(p).over(Window.partitionBy()))
-    up = Window.orderBy("_j").rowsBetween(0, Window.unboundedFollowing)
-    down = Window.orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    family = Window.partitionBy(*by)
+    tested, rank = F.col(p).isNotNull(), family.orderBy(F.col(p).asc_nulls_last(), *order)
+    out = rows.withColumn("_j", F.row_number().over(rank)).withColumn("_m", F.count(p).over(family))
+    up = family.orderBy("_j").rowsBetween(0, Window.unboundedFollowing)
+    down = family.orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
     bh = F.least(F.lit(1.0), F.min(F.when(tested, F.col("_m") / F.col("_j") * F.col(p))).over(up))
     holm = F.least(F.lit(1.0), F.max(F.when(tested, (F.col("_m") - F.col("_j") + 1) * F.col(p))).over(down))
     out = out.withColumn("bh_adj", F.when(tested, bh)).withColumn("holm_adj", F.when(tested, holm))

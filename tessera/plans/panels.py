@@ -43,16 +43,17 @@ def normalise_ticker(p: Inputs) -> DataFrame:
     return raw.select("raw", readers.normalise_ticker(F.col("raw")).alias("ticker"))
 
 
-@query("""WITH rows AS (SELECT 'T' || chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS ticker, * FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey <= 20)
+@query("""WITH rows AS (SELECT 'T' || chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS ticker, * FROM part JOIN lineitem ON l_partkey = p_partkey)
 SELECT ticker, CAST(l_shipdate AS DATE) AS ts, l_extendedprice AS open, l_extendedprice + 1 AS high, l_extendedprice - 1 AS low, l_extendedprice AS close,
        CAST(l_quantity AS BIGINT) AS volume, CAST(NULL AS DOUBLE) AS vwap, CAST(l_linenumber AS BIGINT) AS n_trades FROM rows""")
 def bars_from_json(p: Inputs) -> DataFrame:
-    """Bars written as a vendor's JSON documents, one per ticker, and parsed again."""
-    lines = p.table("part").where("p_partkey <= 20").join(p.table("lineitem"), F.col("l_partkey") == F.col("p_partkey"))
+    """Bars written as a vendor's JSON documents, one per part and month, and parsed again."""
+    lines = p.table("part").join(p.table("lineitem"), F.col("l_partkey") == F.col("p_partkey"))
     price = F.col("l_extendedprice")
     bar = F.struct(F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("t"), price.alias("o"), (price + 1).alias("h"), (price - 1).alias("l"), price.alias("c"), F.col("l_quantity").alias("v"), F.col("l_linenumber").cast("double").alias("n"))
     ticker = F.concat(F.lit("T"), F.char(65 + F.col("p_partkey") % 26))
-    documents = lines.groupBy(ticker.alias("ticker")).agg(F.to_json(F.struct(F.collect_list(bar).alias("results"))).alias("body"))
+    month = F.trunc("l_shipdate", "month").alias("month")  # bounds a document, however long a series is
+    documents = lines.groupBy("p_partkey", ticker.alias("ticker"), month).agg(F.to_json(F.struct(F.collect_list(bar).alias("results"))).alias("body"))
     return readers.bars_from_json(documents)
 
 
@@ -69,15 +70,18 @@ def snapshot_parse(p: Inputs) -> DataFrame:
     return readers.parse_snapshots(revisions, "brands", least=5)
 
 
-HTML = '<table><tr><td>NO</td></tr></table><table id="constituents"><tr><th>Symbol</th></tr><tr><td><a href="/x">BRK-B</a></td><td>1</td></tr><tr><td>MMM </td></tr><tr><td>MMM</td></tr></table><table><tr><td>ZZZ</td></tr></table>'
+HTML = ('<table><tr><td>NO</td></tr></table><table id="constituents"><tr><th>Symbol</th></tr>', "</table><table><tr><td>ZZZ</td></tr></table>")
 
 
-@query("SELECT unnest(['BRK.B', 'MMM']) AS ticker UNION ALL SELECT unnest(['BRK.B', 'MMM']) FROM (SELECT DISTINCT r_regionkey FROM region)")
+@query("SELECT DISTINCT n_regionkey AS page, split_part(substr(n_name, 1, 5), ' ', 1) AS ticker FROM nation WHERE regexp_full_match(split_part(substr(n_name, 1, 5), ' ', 1), '[A-Z]{1,5}')")
 def html_constituents(p: Inputs) -> DataFrame:
-    """The constituent table of an HTML page, once as such and once for each region's copy; pages without one add nothing."""
-    page = p.spark.createDataFrame([(HTML,), ("<p>none</p>",)], "html string")
-    copies = p.table("region").select(F.lit(HTML).alias("html"))
-    return readers.constituents_html(page.unionByName(copies)).select(F.explode("symbols").alias("ticker"))
+    """The constituent tables of a page per region, its nations twice; a page without such a table adds nothing."""
+    name = F.split_part(F.substring("n_name", 1, 5), F.lit(" "), F.lit(1))
+    cell = F.concat(F.lit("<tr><td><a href='/x'>"), name, F.lit(" </a></td><td>1</td></tr>"))
+    rows = F.array_join(F.flatten(F.array(F.collect_list(cell), F.collect_list(cell))), "\n")
+    pages = p.table("nation").groupBy(F.col("n_regionkey").alias("page")).agg(F.concat(F.lit(HTML[0]), rows, F.lit(HTML[1])).alias("html"))
+    pages = pages.unionByName(p.table("region").select(F.col("r_regionkey").alias("page"), F.lit("<p>none</p>").alias("html")))
+    return readers.constituents_html(pages).select("page", F.explode("symbols").alias("ticker"))
 
 
 @query(with_clause("SELECT ticker, ts, close FROM bars", ["bars"]))
@@ -157,15 +161,17 @@ def sma_zscore(p: Inputs) -> DataFrame:
     return out.select("ticker", "ts", "sma_50d", "sma_200d", "z_mom_12_1")
 
 
-@query(with_clause(f"""SELECT ticker, CAST(count(*) AS BIGINT) AS n, CAST(count(ret_21d) AS BIGINT) AS n_ret, CAST(count(vol_63d) AS BIGINT) AS n_vol, CAST(count(sig) AS BIGINT) AS n_mom,
-  CAST(count(sma_200d) AS BIGINT) AS n_sma, CAST(count(z) AS BIGINT) AS n_z FROM (
-  SELECT ticker, ret_21d, sig, {full('stddev_samp(x)', 'x', 63)} AS vol_63d, {full('avg(close)', 'close', 200)} AS sma_200d, {full('avg(sig)', 'sig', 252)} AS z FROM (
-  SELECT l.*, ln(close / c1) AS x, c21 / c252 - 1 AS sig, close / c21 - 1 AS ret_21d FROM lagged l)) GROUP BY 1""", ["lagged"]))
+_STANDARD = {"ret_1d": 8, "ret_5d": 8, "ret_21d": 8, "logret_1d": 8, "vol_21d": 8, "vol_63d": 8, "mom_12_1": 8, "sma_50d": 8, "sma_200d": 9, "z_mom_12_1": 6}
+
+
+@query(with_clause(f"""SELECT ticker, ts, {', '.join(f'round({c}, {n}) AS {c}' for c, n in _STANDARD.items())} FROM (
+  SELECT ticker, ts, close / c1 - 1 AS ret_1d, close / c5 - 1 AS ret_5d, close / c21 - 1 AS ret_21d, x AS logret_1d, {full('stddev_samp(x)', 'x', 21)} * sqrt(252e0) AS vol_21d, {full('stddev_samp(x)', 'x', 63)} * sqrt(252e0) AS vol_63d,
+  sig AS mom_12_1, {full('avg(close)', 'close', 50)} AS sma_50d, {full('avg(close)', 'close', 200)} AS sma_200d, (sig - {full('avg(sig)', 'sig', 252)}) / nullif({full('stddev_samp(sig)', 'sig', 252)}, 0) AS z_mom_12_1 FROM (
+  SELECT l.*, lag(close, 5) OVER (PARTITION BY ticker ORDER BY ts) AS c5, ln(close / c1) AS x, c21 / c252 - 1 AS sig FROM lagged l))""", ["lagged"]))
 def standard_features(p: Inputs) -> DataFrame:
-    """How far each of the standard features reaches back, per series."""
+    """The standard set of features, every value."""
     out = p.fresh.transform(features.standard)
-    n = lambda c, a: F.count(c).alias(a)
-    return out.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), n("ret_21d", "n_ret"), n("vol_63d", "n_vol"), n("mom_12_1", "n_mom"), n("sma_200d", "n_sma"), n("z_mom_12_1", "n_z"))
+    return out.select("ticker", "ts", *(F.round(c, n).alias(c) for c, n in _STANDARD.items()))
 
 
 @query(with_clause("SELECT ticker, ts, round(fwd_ret, 8) AS fwd_ret FROM fwd", ["fwd"]))
@@ -209,9 +215,9 @@ def flag_suspects(p: Inputs) -> DataFrame:
     return quality.flag_suspects(p.defective).select("ticker", "reason")
 
 
-@query(with_clause(f"SELECT ticker, CAST(count(*) AS BIGINT) AS n FROM defective WHERE ticker NOT IN (SELECT ticker FROM ({_FLAG.format(defects_sql('defective'))})) GROUP BY 1", ["defective"]))
+@query(with_clause(f"SELECT ticker, ts, close FROM defective WHERE ticker NOT IN (SELECT ticker FROM ({_FLAG.format(defects_sql('defective'))}))", ["defective"]))
 def drop_suspects(p: Inputs) -> DataFrame:
-    return quality.drop_suspects(p.defective).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+    return quality.drop_suspects(p.defective)
 
 
 FIRST = "SELECT ticker, ts AS last_kept, reason FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts, reason) AS k FROM ({0})) WHERE k = 1"
@@ -222,11 +228,23 @@ def truncate_suspects(p: Inputs) -> DataFrame:
     return quality.truncate_suspects(p.defective)[1]
 
 
-@query(with_clause(f"SELECT ticker, ts, close FROM defective LEFT JOIN ({FIRST.format(defects_sql('defective'))}) USING (ticker) WHERE last_kept IS NULL OR ts <= last_kept", ["defective"]))
+_LAST_KEPT = "min(CASE WHEN nc / close > 4 OR nc / close < 0.25 OR nt - ts > 10 THEN ts END) OVER (PARTITION BY ticker)"
+
+
+@query(with_clause(f"SELECT ticker, ts, close FROM (SELECT *, {_LAST_KEPT} AS last_kept FROM ({_NEXT.format('defective')})) WHERE last_kept IS NULL OR ts <= last_kept", ["defective"]))
 def gated_panel(p: Inputs) -> DataFrame:
     return quality.truncate_suspects(p.defective)[0]
 
 
+_ENOUGH = """SELECT max(ts) FROM (SELECT ts, count(DISTINCT ticker) AS k FROM defective GROUP BY 1) WHERE k >= 0.5 * (SELECT median(k) FROM (SELECT count(DISTINCT ticker) AS k FROM defective GROUP BY ts))"""
+
+
+@query(with_clause(f"SELECT ticker, ts, close FROM defective WHERE ts <= ({_ENOUGH})", ["defective"]))
+def trimmed_panel(p: Inputs) -> DataFrame:
+    """The panel without its ragged end."""
+    return quality.trim_ragged_end(p.defective)[0]
+
+
 @query(with_clause("""SELECT ts, n_tickers FROM (SELECT ts, CAST(count(DISTINCT ticker) AS BIGINT) AS n_tickers FROM defective GROUP BY 1) n
 WHERE ts > (SELECT max(ts) FROM (SELECT ts, count(DISTINCT ticker) AS k FROM defective GROUP BY 1) WHERE k >= 0.5 * (SELECT median(k) FROM (SELECT count(DISTINCT ticker) AS k FROM defective GROUP BY ts)))""", ["defective"]))
 def trim_ragged_end(p: Inputs) -> DataFrame:

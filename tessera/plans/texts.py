@@ -48,11 +48,10 @@ def provenance_report(p: Inputs) -> DataFrame:
 # --- notes: rows made from the events by a rule, in Spark and in SQL alike ----------------------------------
 
 FEATURES = ("mom_12_1", "vol_63d", "ivol_63d", "ret_21d", "rev_36_12", "pct_52w_high", "sma_200d", "other_1")
-_N = 600
 
 
 def _notes(p: Inputs) -> DataFrame:
-    e = p.table("events").where(F.col("event_id") < _N).select(F.col("event_id").alias("i"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    e = p.table("events").select(F.col("event_id").alias("i"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
     at = lambda values, x: F.element_at(F.array(*[F.lit(v) for v in values]), (x + 1).cast("int"))
 
     def trial(k):  # noqa: ANN001, ANN202
@@ -76,7 +75,7 @@ def _notes(p: Inputs) -> DataFrame:
 
 
 _FEATURE_LIST = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
-_NOTES_SQL = f"""base AS (SELECT event_id AS i, ts FROM events WHERE event_id < {_N}),
+_NOTES_SQL = f"""base AS (SELECT event_id AS i, ts FROM events),
 trials AS (SELECT *, i * 3 + k AS x, ((i * 3 + k) * 7 % 21 - 8) / 10e0 AS sharpe FROM (SELECT i, unnest(range(0, i % 4)) AS k FROM base)),
 t AS (SELECT *, {_FEATURE_LIST}[CAST((i + k) % {len(FEATURES)} + 1 AS INTEGER)] || ', 5 buckets' AS variant, x % 4 <> 1 AS long_short, x % 3 <> 0 AS declared, coalesce(CASE WHEN x % 5 <> 0 THEN sharpe > 0 END, sharpe > 0) AS predicted,
       x * 11 % 40 / 40e0 + 0.02e0 AS prob, x % 6 <> 2 AS analysed FROM trials),
