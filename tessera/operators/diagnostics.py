@@ -15,7 +15,7 @@ COSTS = (0, 10, 25)
 POINTS = 160
 
 
-def bucket_returns(prices: DataFrame, signal: DataFrame, rebalances: DataFrame, held: DataFrame, n_buckets: int) -> DataFrame:
+def bucket_returns(prices: DataFrame, signal: DataFrame, rebalances: DataFrame, held: DataFrame, n_buckets: int, forward: DataFrame | None = None) -> DataFrame:
     """(bucket, ann_return, n_days): gross returns of every bucket of the signal as it is; bucket 1 is the lowest.
 
     Ranked on rebalance dates with at least n_buckets names, held until the next of them; means are taken over
@@ -27,7 +27,7 @@ def bucket_returns(prices: DataFrame, signal: DataFrame, rebalances: DataFrame,
     scored = scored.select("ts", "ticker", rank.alias("rk"), F.count(F.lit(1)).over(day).alias("n")).where(F.col("n") >= n_buckets)
     buckets = scored.select(F.col("ts").alias("period"), "ticker", F.expr(f"(rk - 1) * {int(n_buckets)} div n + 1").cast("int").alias("bucket"))
     periods = latest_mark(held.select("ts").distinct(), buckets.select(F.col("period").alias("ts")).distinct(), "period")
-    legs = forward_returns(prices).join(periods, "ts").join(buckets, ["period", "ticker"])
+    legs = (forward_returns(prices) if forward is None else forward).join(periods, "ts").join(buckets, ["period", "ticker"])
     daily = legs.groupBy("ts", "bucket").agg(F.avg("fwd_ret").alias("ret")).where(F.col("ret").isNotNull())
     return daily.groupBy("bucket").agg((F.avg("ret") * 252).alias("ann_return"), F.count(F.lit(1)).alias("n_days"))
 

@@ -21,15 +21,17 @@ class Backtest:
     turnover: DataFrame
 
 
-def run_backtest(prices: DataFrame, weights: DataFrame, cost_bps: float = 10.0, by: Sequence[str] = (), charge_exits: bool = False) -> Backtest:
+def run_backtest(prices: DataFrame, weights: DataFrame, cost_bps: float = 10.0, by: Sequence[str] = (), charge_exits: bool = False, forward: DataFrame | None = None) -> Backtest:
     """Returns on every price date but the last, which has no forward return.
 
+    forward (ticker, ts, fwd_ret) may be given where it is at hand; it is the prices' forward_returns otherwise.
+
     A held name without a price contributes nothing; a day without positions returns 0. With charge_exits the
     day on which all positions have gone is charged their whole exposure; otherwise it costs nothing until
     weights follow.
     """
     by = list(by)
-    legs = weights.join(forward_returns(prices), ["ts", "ticker"], "left")
+    legs = weights.join(forward_returns(prices) if forward is None else forward, ["ts", "ticker"], "left")
     gross = legs.groupBy(*by, "ts").agg(F.sum(F.col("w") * F.col("fwd_ret")).alias("gross_ret"))
     moved = turnover(weights, by)
     days = prices.select("ts").distinct()

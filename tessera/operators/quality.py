@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.windows import series
@@ -23,33 +23,47 @@ def level_shifts(panel: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
     return out.where((F.col("ratio") > max_ratio) | (F.col("ratio") < 1 / max_ratio))
 
 
-def _defects(panel: DataFrame, max_gap: int, max_ratio: float) -> DataFrame:
-    shifts = level_shifts(panel, max_ratio).select("ticker", "ts", F.lit("level_shift").alias("reason"), F.col("ratio").alias("size"))
-    gaps = coverage_gaps(panel, max_gap).select("ticker", "ts", F.lit("coverage_gap").alias("reason"), F.col("gap_days").cast("double").alias("size"))
-    return shifts.unionByName(gaps)
+def _marked(panel: DataFrame, max_gap: int, max_ratio: float) -> DataFrame:
+    """panel with _gap and _ratio where a row is the last before a hole or a level shift, null elsewhere: one window for both."""
+    gap = F.datediff(F.lead("ts").over(series()), F.col("ts"))
+    ratio = F.try_divide(F.expr("lead(close) IGNORE NULLS OVER (PARTITION BY ticker ORDER BY ts)"), F.col("close"))
+    out = panel.withColumns({"_gap": gap, "_ratio": ratio})
+    shifted = (F.col("_ratio") > max_ratio) | (F.col("_ratio") < 1 / max_ratio)
+    return out.withColumns({"_gap": F.when(F.col("_gap") > max_gap, F.col("_gap")), "_ratio": F.when(shifted, F.col("_ratio"))})
 
 
 def flag_suspects(panel: DataFrame, max_gap: int = MAX_GAP, max_ratio: float = MAX_RATIO) -> DataFrame:
     """(ticker, reason, ts, size): one defect per ticker; a level shift comes before a gap, then the largest first."""
-    first = F.struct((F.col("reason") == "coverage_gap").alias("o"), (-F.col("size")).alias("s"), "ts")
-    best = _defects(panel, max_gap, max_ratio).groupBy("ticker").agg(F.min_by(F.struct("reason", "ts", "size"), first).alias("d"))
-    return best.select("ticker", "d.reason", "d.ts", "d.size")
+    rows = _marked(panel, max_gap, max_ratio)
+    defect = lambda size, reason: F.when(F.col(size).isNotNull(), F.struct(F.lit(reason).alias("reason"), "ts", F.col(size).cast("double").alias("size")))
+    rows = rows.select("ticker", F.explode(F.array_compact(F.array(defect("_ratio", "level_shift"), defect("_gap", "coverage_gap")))).alias("d"))
+    first = F.struct((F.col("d.reason") == "coverage_gap").alias("o"), (-F.col("d.size")).alias("s"), "d.ts")
+    return rows.groupBy("ticker").agg(F.min_by("d", first).alias("d")).select("ticker", "d.reason", "d.ts", "d.size")
 
 
 def drop_suspects(panel: DataFrame, max_gap: int = MAX_GAP, max_ratio: float = MAX_RATIO) -> DataFrame:
     """The whole-sample gate: a ticker with any defect goes. It looks ahead, and is there for comparison."""
-    return panel.join(flag_suspects(panel, max_gap, max_ratio), "ticker", "left_anti")
+    rows = _marked(panel, max_gap, max_ratio)
+    bad = F.max((F.col("_gap").isNotNull() | F.col("_ratio").isNotNull())).over(Window.partitionBy("ticker"))
+    return rows.withColumn("_bad", bad).where(~F.col("_bad")).select(*panel.columns)
+
+
+def _cut(panel: DataFrame, max_gap: int, max_ratio: float) -> DataFrame:
+    """panel with last_kept and reason of its ticker's first defect: the windows share one exchange, and nothing is joined."""
+    rows = _marked(panel, max_gap, max_ratio)
+    reason = F.when(F.col("_gap").isNotNull(), "coverage_gap").when(F.col("_ratio").isNotNull(), "level_shift")
+    first = F.min(F.when(reason.isNotNull(), F.struct("ts", reason.alias("reason")))).over(Window.partitionBy("ticker"))
+    return rows.withColumn("_first", first).select(*panel.columns, F.col("_first.ts").alias("last_kept"), F.col("_first.reason").alias("reason"))
 
 
 def first_defects(panel: DataFrame, max_gap: int = MAX_GAP, max_ratio: float = MAX_RATIO) -> DataFrame:
     """(ticker, last_kept, reason): the first defect of each ticker; on a tie a gap comes before a shift."""
-    rows = _defects(panel, max_gap, max_ratio)
-    return rows.groupBy("ticker").agg(F.min(F.struct("ts", "reason")).alias("d")).select("ticker", F.col("d.ts").alias("last_kept"), "d.reason")
+    return _cut(panel, max_gap, max_ratio).where("last_kept is not null").groupBy("ticker").agg(F.first("last_kept").alias("last_kept"), F.first("reason").alias("reason"))
 
 
 def truncate_suspects(panel: DataFrame, max_gap: int = MAX_GAP, max_ratio: float = MAX_RATIO) -> tuple[DataFrame, DataFrame]:
     """The point-in-time gate: (the panel up to each ticker's first defect, a report with the rows dropped)."""
-    marked = panel.join(first_defects(panel, max_gap, max_ratio), "ticker", "left")
+    marked = _cut(panel, max_gap, max_ratio)
     kept = marked.where(F.col("last_kept").isNull() | (F.col("ts") <= F.col("last_kept"))).select(*panel.columns)
     report = marked.where(F.col("last_kept").isNotNull()).groupBy("ticker", "last_kept", "reason")
     return kept, report.agg(F.count_if(F.col("ts") > F.col("last_kept")).alias("rows_dropped"))

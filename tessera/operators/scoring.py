@@ -70,14 +70,15 @@ def _text(pattern: str, *columns: Column) -> Column:
     return F.format_string(pattern, *columns)
 
 
-def score_suite(measurements: DataFrame, anomalies: DataFrame) -> DataFrame:
+def score_suite(measurements: DataFrame, anomalies: DataFrame, whole: bool = False) -> DataFrame:
     """A verdict with its reasons for every registered anomaly, in one plan.
 
     Rules in order, the first that fails decides: enough data; the sign; the deflated probability; the
     Benjamini-Hochberg adjusted p-value, over the testable ones only; and a pass that is implausibly large is
-    partial. What wasn't measured doesn't pass. An anomaly without a measurement is an error.
+    partial. What wasn't measured doesn't pass. An anomaly without a measurement is an error,
+    which is looked for unless the measurements are known to be whole.
     """
-    if missing := [r.key for r in anomalies.join(measurements, "key", "left_anti").collect()]:  # a handful
+    if not whole and (missing := [r.key for r in anomalies.join(measurements, "key", "left_anti").collect()]):  # a handful
         raise KeyError(f"no measurement for {', '.join(sorted(missing))}: a part of a suite can't be scored")
     rows = anomalies.join(measurements, "key")
     measured = F.col("tested") & F.col("realised_sharpe").isNotNull()

@@ -15,14 +15,14 @@ GAMMA = 0.5772156649015329
 YEAR = 252
 
 
-def moments(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def moments(returns: DataFrame, by: Sequence[str] = (), **more: Column) -> DataFrame:
     """sr, skew, kurt, n: per-period Sharpe ratio, population skewness and non-excess kurtosis.
 
-    Null with fewer than four returns or none that vary.
+    Null with fewer than four returns or none that vary. More figures may be taken in the same pass, by name.
     """
     n, sd = F.count("ret"), F.stddev_samp("ret")
     ok = (n >= 4) & (sd > 0)
-    figures = [F.when(ok, F.try_divide(F.avg("ret"), sd)).alias("sr"), F.when(ok, F.skewness("ret")).alias("skew"), F.when(ok, F.kurtosis("ret") + 3).alias("kurt"), n.alias("n")]
+    figures = [F.when(ok, F.try_divide(F.avg("ret"), sd)).alias("sr"), F.when(ok, F.skewness("ret")).alias("skew"), F.when(ok, F.kurtosis("ret") + 3).alias("kurt"), n.alias("n"), *(c.alias(k) for k, c in more.items())]
     return returns.groupBy(*by).agg(*figures) if by else returns.agg(*figures)
 
 

@@ -27,20 +27,19 @@ def _at(bounds: DataFrame, numbered: DataFrame, names: Sequence[str]) -> DataFra
 def expanding_splits(days: DataFrame, n_splits: int, min_train: int, embargo: int = 0) -> DataFrame:
     """Tests are n_splits blocks after the first min_train days, the last one taking the remainder.
 
-    Training starts on the first day and ends embargo days before its test.
+    Training starts on the first day and ends embargo days before its test. Too few days are an error when the
+    splits are read: the dates, a list of one row a day, are numbered and cut in one pass over them.
     """
     if n_splits < 1 or min_train < 1 or embargo < 0 or min_train - embargo < 1:
         raise ValueError("n_splits and min_train must be positive, and the embargo shorter than min_train")
-    numbered = _numbered(days)
-    n = numbered.count()
-    size = (n - min_train) // n_splits
-    if size < 1:
-        raise ValueError(f"{n} days are too few for {n_splits} splits after {min_train}")
-    rest = numbered.where(F.col("i") >= min_train)
-    block = F.least(F.lit(n_splits - 1), F.expr(f"(i - {min_train}) div {size}")).cast("int")
-    bounds = rest.groupBy(block.alias("split")).agg(F.min("i").alias("test_start"), F.max("i").alias("test_end"))
-    bounds = bounds.withColumn("train_start", F.lit(0)).withColumn("train_end", F.col("test_start") - 1 - embargo)
-    return _at(bounds, numbered, COLUMNS[1:])
+    listed = days.agg(F.array_sort(F.collect_set("ts")).alias("d")).withColumn("n", F.size("d"))
+    size = F.expr(f"(n - {min_train}) div {n_splits}").cast("int")
+    enough = F.when(size >= 1, size).otherwise(F.raise_error(F.concat(F.col("n").cast("string"), F.lit(f" days are too few for {n_splits} splits after {min_train}"))).cast("int"))
+    rows = listed.withColumn("size", enough).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    first = F.lit(min_train) + F.col("split") * F.col("size")
+    last = F.when(F.col("split") == n_splits - 1, F.col("n") - 1).otherwise(first + F.col("size") - 1)
+    at = lambda i: F.get("d", i)
+    return rows.select("split", at(F.lit(0)).alias("train_start"), at(first - 1 - embargo).alias("train_end"), at(first).alias("test_start"), at(last).alias("test_end"))
 
 
 def rolling_splits(days: DataFrame, train: int, test: int, step: int | None = None, embargo: int = 0) -> DataFrame:
@@ -59,13 +58,12 @@ def rolling_splits(days: DataFrame, train: int, test: int, step: int | None = No
 
 
 def validate_splits(splits: DataFrame) -> DataFrame:
-    """The splits as they are; an error if one is reversed, trains into its test, or tests overlap."""
-    before = F.lag("test_end").over(Window.orderBy("test_start"))
-    checked = splits.withColumn("_before", before)
-    wrong = (F.col("train_start") > F.col("train_end")) | (F.col("test_start") > F.col("test_end")) | (F.col("test_start") <= F.col("train_end")) | (F.col("test_start") <= F.col("_before"))
-    if bad := checked.where(wrong).limit(1).collect():
-        raise ValueError(f"invalid split: {bad[0].asDict()}")
-    return splits
+    """The splits as they are; reading them is an error if one is reversed, trains into its test, or tests overlap."""
+    before = F.lag("test_end").over(Window.orderBy("test_start"))  # a handful of rows
+    wrong = (F.col("train_start") > F.col("train_end")) | (F.col("test_start") > F.col("test_end")) | (F.col("test_start") <= F.col("train_end")) | F.coalesce(F.col("test_start") <= F.col("_before"), F.lit(False))
+    text = F.concat(F.lit("invalid split: "), F.to_json(F.struct(*COLUMNS)))
+    checked = F.when(wrong, F.raise_error(text).cast("int")).otherwise(F.col("split"))
+    return splits.withColumn("_before", before).withColumn("split", checked).select(*COLUMNS)
 
 
 def oos_returns(splits: DataFrame, backtest: Callable[[dict], DataFrame]) -> DataFrame:

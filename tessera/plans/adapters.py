@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.windows import series
+from tessera.operators import features
 from tessera.sources.shared import steady, stored
 
 #: Quarterly members: the brands with the largest volume.
@@ -38,8 +40,9 @@ class Inputs:
     def panel(self) -> DataFrame:
         """(ticker, ts, close, r, volume): every brand on every ship date, prices compounded from the mean discount."""
         seen = self.brand_days
-        # dates times brands: the panel itself, which is dense by definition
-        grid = seen.select("ts").distinct().crossJoin(F.broadcast(seen.select("ticker").distinct()))
+        # dates times brands: the panel itself, which is dense by definition; the dates are one row, an array of one entry a day
+        days = seen.agg(F.collect_set("ts").alias("days"))
+        grid = seen.select("ticker").distinct().crossJoin(F.broadcast(days)).select("ticker", F.explode("days").alias("ts"))
         rows = grid.join(seen, ["ticker", "ts"], "left")
         rows = rows.select("ticker", "ts", F.round(F.coalesce((F.col("d") - 0.05) / 5, F.lit(0.0)), 8).alias("r"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
         run = Window.partitionBy("ticker").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -50,10 +53,20 @@ class Inputs:
         """The panel's prices, for queries that read them once."""
         return self.panel.select("ticker", "ts", "close")
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        """The panel for queries whose every step reads it: written once, which also keeps plans small.
+
+        Beside prices, returns and volume it holds what the main strategy needs of each row, from the same window:
+        fwd_ret and sig, the 12-1 momentum.
+        """
+        rows = self.panel.transform(features.momentum_12_1).withColumnRenamed("mom_12_1", "sig")
+        ahead = F.try_divide(F.lead("close").over(series()), F.col("close")) - 1
+        return stored(rows.withColumn("fwd_ret", ahead), "frame")
+
     @cached_property
     def bars(self) -> DataFrame:
-        """The panel for queries whose every step reads it: written once, which also keeps plans small."""
-        return stored(self.panel, "bars")
+        return self.frame.select("ticker", "ts", "close", "r", "volume")
 
     @cached_property
     def prices(self) -> DataFrame:

@@ -17,12 +17,13 @@ MOM = strategy_ctes("mom", B)
 
 
 def momentum(p: Inputs) -> DataFrame:
-    return p.prices.transform(features.momentum_12_1).select("ts", "ticker", F.col("mom_12_1").alias("sig"))
+    return p.frame.select("ts", "ticker", "sig")
 
 
 def backtest(p: Inputs, n_buckets: int = B, long_short: bool = True, cost_bps: float = 10.0) -> Backtest:
+    """All steps read one frame of prices, forward returns and signals, whose columns come from one pass over the series."""
     weights = stored(engine.signal_weights(momentum(p), p.days, n_buckets, long_short), "weights")  # read by each step of the accounting
-    return engine.run_backtest(p.prices, weights, cost_bps)
+    return engine.run_backtest(p.prices, weights, cost_bps, forward=p.frame.select("ts", "ticker", "fwd_ret"))
 
 
 def held_returns(p: Inputs) -> DataFrame:
@@ -125,7 +126,7 @@ _BUCKETS = f"""SELECT bucket, avg(r) * 252 AS ann_return, CAST(count(*) AS BIGIN
 def _buckets(p: Inputs) -> DataFrame:
     signal = momentum(p)
     ends = portfolio.month_ends(signal.where("sig is not null").select("ts").distinct())
-    return diagnostics.bucket_returns(p.prices, signal, ends, backtest(p).weights, B)
+    return diagnostics.bucket_returns(p.prices, signal, ends, backtest(p).weights, B, forward=p.frame.select("ts", "ticker", "fwd_ret"))
 
 
 @query(mom_sql(f"SELECT bucket, round(ann_return, 8) AS ann_return, n_days FROM ({_BUCKETS})", "held", "map", "fwd", "ends"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import normal
@@ -34,18 +34,23 @@ def signals(prices: DataFrame, market: str, anomalies: tuple[scoring.Anomaly, ..
     return out.select("s.anomaly", "ts", "ticker", "s.sig").where(F.col("sig").isNotNull())
 
 
-def measure(p: Inputs, orient: bool = True) -> DataFrame:
+UNIVERSES = ("current", "point_in_time")
+
+
+def measure(p: Inputs, orient: bool = True, universes: tuple[str, ...] = UNIVERSES) -> DataFrame:
     """Per universe and anomaly: sr, skew, kurt, n, sharpe of the invested days, and the panel's days."""
-    found = stored(signals(p.with_market, MARKET, orient=orient), "signals")
-    members = membership.membership_panel(p.snapshots, p.days)
-    everyone = found.withColumn("universe", F.lit("current"))
-    pit = membership.restrict(found, members).withColumn("universe", F.lit("point_in_time"))
-    weights = stored(engine.signal_weights(everyone.unionByName(pit), p.days, BUCKETS, by=KEYS), "weights")  # read by each step of the accounting
-    b = engine.run_backtest(p.prices, weights, by=KEYS)
+    found = signals(p.with_market, MARKET, orient=orient)
+    found = stored(found, "signals") if len(universes) > 1 else found  # read by both
+    sides = {"current": lambda: found, "point_in_time": lambda: membership.restrict(found, membership.membership_panel(p.snapshots, p.days))}
+    rows = None
+    for u in universes:
+        side = sides[u]().withColumn("universe", F.lit(u))
+        rows = side if rows is None else rows.unionByName(side)
+    weights = stored(engine.signal_weights(rows, p.days, BUCKETS, by=KEYS), "weights")  # read by each step of the accounting
+    b = engine.run_backtest(p.prices, weights, by=KEYS, forward=p.frame.select("ts", "ticker", "fwd_ret"))
     held = engine.invested(b.returns, b.weights, by=KEYS)
-    out = stats.moments(held, by=KEYS).join(held.groupBy(*KEYS).agg(metrics.sharpe().alias("sharpe")), KEYS)
     history = p.days.agg(F.count(F.lit(1)).alias("history_days"))
-    return stored(out.crossJoin(F.broadcast(history)), "measured")  # one row beside a dozen
+    return stats.moments(held, by=KEYS, sharpe=metrics.sharpe()).crossJoin(F.broadcast(history))  # one row beside a dozen
 
 
 def measurements(measured: DataFrame, spark: SparkSession, universe: str, orient: bool = True) -> DataFrame:
@@ -56,17 +61,17 @@ def measurements(measured: DataFrame, spark: SparkSession, universe: str, orient
     rows = stats.deflate(rows, n_trials, TRIAL_VARIANCE)
     sign = F.lit(1) if orient else F.col("direction")
     t = F.col("sharpe") * sign / math.sqrt(252) * F.sqrt(F.col("n").cast("double"))
-    days = measured.agg(F.max("history_days").alias("d")).first()
+    days = F.max("history_days").over(Window.partitionBy())  # over the registry's rows; the same in all that were measured
     return rows.select(
         "key", (F.col("sharpe") * (F.col("direction") if orient else F.lit(1))).alias("realised_sharpe"), (1 - normal.cdf_column(t)).alias("p_value"), F.col("dsr").alias("deflated_psr"),
-        F.coalesce("history_days", F.lit((days.d if days else 0) or 0)).cast("int").alias("history_days"), F.coalesce("n", F.lit(0)).cast("int").alias("n_invested_days"),
+        F.coalesce(days, F.lit(0)).cast("int").alias("history_days"), F.coalesce("n", F.lit(0)).cast("int").alias("n_invested_days"),
         F.lit(n_trials).alias("n_trials"), F.col("sharpe").isNotNull().alias("tested"), F.lit(None).cast("string").alias("note"),
     )
 
 
 def score(p: Inputs, universe: str, orient: bool = True) -> DataFrame:
-    measured = measure(p, orient).where(F.col("universe") == universe)
-    return scoring.score_suite(measurements(measured, p.spark, universe, orient), scoring.registry(p.spark))
+    measured = measure(p, orient, (universe,))
+    return scoring.score_suite(measurements(measured, p.spark, universe, orient), scoring.registry(p.spark), whole=True)
 
 
 # --- the same in SQL: a strategy per universe and anomaly ------------------------------------------------------
@@ -129,7 +134,7 @@ def suite_measure(p: Inputs) -> DataFrame:
 
 @query(with_clause("SELECT anomaly AS key, round(psr, 8) AS psr, round(emax, 8) AS emax, round(dsr, 8) AS dsr, round(min_trl, 4) AS min_trl, round(p, 8) AS p FROM tested WHERE universe = 'current'", ["tested"], SUITE))
 def deflated(p: Inputs) -> DataFrame:
-    rows = measure(p).where("universe = 'current'").withColumnRenamed("anomaly", "key")
+    rows = measure(p, universes=("current",)).withColumnRenamed("anomaly", "key")
     out = stats.deflate(rows, len(scoring.ANOMALIES), TRIAL_VARIANCE).select("key", "psr", "emax", "dsr", "min_trl", "p")
     return rounded(rounded(out, "psr", "emax", "dsr", "p"), "min_trl", places=4)
 
@@ -151,14 +156,14 @@ def verdict_tally(p: Inputs) -> DataFrame:
 
 @query(with_clause("SELECT a.anomaly AS key, round(a.sharpe, 8) AS current, round(b.sharpe, 8) AS pit, round(a.sharpe - b.sharpe, 8) AS gap FROM measured a JOIN measured b USING (anomaly) WHERE a.universe = 'current' AND b.universe = 'point_in_time'", ["measured"], SUITE))
 def universe_gap(p: Inputs) -> DataFrame:
-    measured = measure(p).withColumnRenamed("anomaly", "key")
+    measured = stored(measure(p), "measured").withColumnRenamed("anomaly", "key")
     sides = [measured.where(F.col("universe") == u) for u in ("current", "point_in_time")]
     return rounded(scoring.universe_gap(*sides, value="sharpe"), "current", "pit", "gap")
 
 
 @query(with_clause("SELECT round(var_samp(sr), 12) AS var FROM measured WHERE universe = 'current'", ["measured"], SUITE))
 def trial_variance(p: Inputs) -> DataFrame:
-    return rounded(stats.trial_variance(measure(p).where("universe = 'current'")), "var", places=12)
+    return rounded(stats.trial_variance(measure(p, universes=("current",))), "var", places=12)
 
 
 _P = "(({0} * 7919) % 9973 + 1) / 20000e0"

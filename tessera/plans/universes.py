@@ -78,20 +78,18 @@ BOTH = (
 )
 
 
-def _leg(p: Inputs, signal: DataFrame) -> DataFrame:
-    weights = stored(engine.signal_weights(signal, p.days, B), "weights")
-    b = engine.run_backtest(p.prices, weights)
-    return engine.invested(b.returns, b.weights)
-
-
 @query(with_clause(" UNION ALL ".join(f"SELECT '{m}' AS metric, round(CAST(a.{m} AS DOUBLE), 8) AS current, round(CAST(b.{m} AS DOUBLE), 8) AS pit, round(CAST(a.{m} - b.{m} AS DOUBLE), 8) AS gap FROM now_six a CROSS JOIN pit_six b" for m in (*SIX, "n_days")), ["now_six", "pit_six"], BOTH))
 def survivorship_gap(p: Inputs) -> DataFrame:
     """Today's members all along, against the members of each day, over the days that both are invested."""
     latest = p.snapshots.join(p.snapshots.agg(F.max("as_of").alias("as_of")), "as_of", "left_semi")
-    now = _leg(p, momentum(p).join(latest.select("ticker"), "ticker", "left_semi"))
-    pit = _leg(p, membership.restrict(momentum(p), membership.membership_panel(p.snapshots, p.days)))
-    common = now.join(pit.select("ts"), "ts", "left_semi"), pit.join(now.select("ts"), "ts", "left_semi")
-    return rounded(scoring.survivorship_gap(*(metrics.summary(x) for x in common)), "current", "pit", "gap")
+    now = momentum(p).join(latest.select("ticker"), "ticker", "left_semi").withColumn("universe", F.lit("current"))
+    pit = membership.restrict(momentum(p), membership.membership_panel(p.snapshots, p.days)).withColumn("universe", F.lit("pit"))
+    by = ["universe"]  # both in one plan
+    weights = stored(engine.signal_weights(now.unionByName(pit), p.days, B, by=by), "weights")
+    b = engine.run_backtest(p.prices, weights, by=by, forward=p.frame.select("ts", "ticker", "fwd_ret"))
+    common = weights.groupBy("ts").agg(F.count_distinct("universe").alias("n")).where("n = 2")
+    found = stored(metrics.summary(b.returns.join(common, "ts", "left_semi"), by=by), "summaries")  # two rows
+    return rounded(scoring.survivorship_gap(*(found.where(F.col("universe") == u) for u in ("current", "pit"))), "current", "pit", "gap")
 
 
 @query(with_clause("SELECT prev, as_of, CAST(as_of - prev AS INTEGER) AS gap_days FROM (SELECT as_of, lag(as_of) OVER (ORDER BY as_of) AS prev FROM (SELECT DISTINCT as_of FROM snapshots)) WHERE prev IS NOT NULL", ["snapshots"]))
