@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,38 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     out = df.write
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the JVM may have gone first
+        pass
+    _delete(spark, path)
+
+
+def stored_sorted(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df as a table in the shared folder, dealt into buckets by the keys and sorted by them in each.
+
+    There are as many buckets as the session has shuffle partitions, so rows that were aggregated by the keys are
+    written as they lie, and two such tables, or one and newly aggregated rows, are joined on the keys without an
+    exchange; within merging() without a sort either.
+    """
+    spark = df.sparkSession
+    path, table = f"{shared_dir(spark)}/tessera-{name}-{(mark := uuid.uuid4().hex)}", f"tessera_{name.replace('-', '_')}_{mark}"
+    atexit.register(_drop, spark, table, path)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def merging(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Spark trusts the order of sorted buckets of one file each."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
