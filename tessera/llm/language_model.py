@@ -2,7 +2,7 @@
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and one end per document. Outputs have two
 levels. The TOP most frequent words are classes of their own, the end is one, the other words share BUCKETS
-classes by their last bytes. Within a shared class every one of the HOT most frequent words is an output of its
+classes by their last bytes. Within a shared class every one of the OWN most frequent words is an output of its
 own, and one output stands for all others. The network predicts from the CONTEXT classes before a token: the
 weighted sum of their vectors is the hidden vector; times the vectors of the classes, plus biases, it gives the
 class, times the vectors of the class's words the word. p(word | context) = p(class | context) *
@@ -13,7 +13,9 @@ added to each and one for all that is unseen.
 Training covers every training document once, wherever it lies, in ROUNDS: a round takes a share of the
 documents (by a hash of doc_id and text), each partition runs minibatch AdaGrad on the contrast of its tokens
 with shared noise samples, from the same start, and the parameters are averaged by tokens for the next round:
-summed in runs of MERGED partitions first, so that no task reads a number of them that grows with the input.
+their changes are summed in runs of MERGED partitions first, so that no task reads a number of them that grows
+with the input. Partitions of fewer than TRAINED tokens are read together, so what is sent stays a small part of
+what is read.
 
 Counts cover all training documents, in a distributed table. Words more frequent than all but HOT others go to
 the tasks as a bounded table; a word that isn't among them holds at most 1 / HOT of all tokens, so joining the
@@ -43,8 +45,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, fold, mix, stored, text_chunks, words_of
 
 SPLIT, HELD_OUT = 7, 2
-#: Most words sent to every task with their counts, and most bytes of a word as itself: bounds, whatever the corpus.
-HOT, LONGEST = 65_536, 64
+#: Most words sent to every task with their counts, those of them with an output, and most bytes of a word as itself: bounds, whatever the corpus.
+HOT, OWN, LONGEST = 65_536, 32_768, 64
 #: Classes: frequent words, shared ones, the end.
 TOP, BUCKETS = 96, 159
 END = TOP + BUCKETS
@@ -52,6 +54,8 @@ CLASSES = END + 1
 CONTEXT, WIDTH = 6, 16
 #: Noise samples of a class's step and of a word's, tokens of a minibatch; step sizes; averaging rounds; partitions summed at once.
 NOISE, WORD_NOISE, BATCH, STEP, WORD_STEP, ROUNDS, MERGED = 48, 24, 1024, 0.3, 0.3, 3, 64
+#: Tokens of a round that a partition holds at least, on average, where there are so many.
+TRAINED = 1 << 19
 #: What the squared gradients start from, of the classes and of the words: the smaller, the larger the first steps.
 DAMP = (1e-2, 1e-2)
 #: Tokens scored by one matrix product.
@@ -67,7 +71,7 @@ class Model:
     types: int  # V
     ends: int  # training documents
     kind: np.ndarray  # the class of each hot word
-    spot: np.ndarray  # its output: outputs of a shared class are first[class] (all other words) and those after it
+    spot: np.ndarray  # its output: outputs of a shared class are first[class] (all words without one) and those after it
     first: np.ndarray  # by class; CLASSES + 1 entries
     other_log: np.ndarray  # log10 of the denominator of the words that share an output, by class
     prior: np.ndarray  # of the classes
@@ -133,7 +137,7 @@ def _sequences(data: np.ndarray, offsets: np.ndarray, model: Model):
     spots[hot] = model.spot[place[hot]]
     kind = np.append(kinds, END)[word]  # -1: the end
     spot = np.where((kind >= TOP) & (kind != END), np.append(spots, -1)[word], -1)
-    contexts = np.full((len(kind), CONTEXT), END, np.int64)
+    contexts = np.full((len(kind), CONTEXT), END, np.int32)
     for k in range(CONTEXT):
         same = text[k + 1 :] == text[: -k - 1]
         contexts[k + 1 :, k][same] = kind[: -k - 1][same]
@@ -230,8 +234,8 @@ def _added(keys: list[str]):
     """Sums of parameter blocks with the same keys."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(v, np.float64) for v in df["value"]], axis=0)
-        return pd.DataFrame({k: [df[k].iloc[0]] for k in keys} | {"value": [total.tobytes()], "weight": [int(df["weight"].sum())]})
+        total = np.sum([np.frombuffer(v, np.float32) for v in df["value"]], axis=0, dtype=np.float64)
+        return pd.DataFrame({k: [df[k].iloc[0]] for k in keys} | {"value": [total.astype(np.float32).tobytes()], "weight": [int(df["weight"].sum())]})
 
     return run
 
@@ -241,7 +245,7 @@ BLOCK = 1 << 14
 
 
 def train(docs: DataFrame, model: Model, rounds: int = 0) -> dict[str, np.ndarray]:
-    """The averaged parameters after one pass over the texts, from model.weights."""
+    """The parameters after one pass over the texts, from model.weights: those of the partitions averaged by their tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # HOT words at most, and their vectors
     names = sorted(model.weights)
 
@@ -252,12 +256,14 @@ def train(docs: DataFrame, model: Model, rounds: int = 0) -> dict[str, np.ndarra
                 kind, contexts, spot, *_ = _sequences(data, offsets, sent.value)
                 trainer.learn(kind, contexts, spot)
         if trainer.seen:
-            flat = np.concatenate([trainer.w[k].ravel() for k in names]).astype(np.float64) * trainer.seen
+            flat = np.concatenate([(trainer.w[k] - sent.value.weights[k]).ravel() for k in names]) * np.float32(trainer.seen)
             parts = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
             run_of = TaskContext.get().partitionId() // MERGED
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([run_of] * len(parts), pa.int64()), pa.array(parts, pa.binary()), pa.array([trainer.seen] * len(parts), pa.int64())], ["at", "run", "value", "weight"])
 
-    sums = docs.select("text").mapInArrow(run, "at long, run long, value binary, weight long")
+    docs = docs.select("text")
+    docs = docs.coalesce(max(1, min(docs.rdd.getNumPartitions(), model.tokens // ROUNDS // TRAINED)))
+    sums = docs.mapInArrow(run, "at long, run long, value binary, weight long")
     parts = max(1, docs.rdd.getNumPartitions())
     while parts > MERGED:  # as many levels as there are powers of MERGED in the partitions
         sums = sums.groupBy("at", "run").applyInPandas(_added(["at", "run"]), "at long, run long, value binary, weight long").withColumn("run", F.expr(f"run div {MERGED}"))
@@ -265,11 +271,11 @@ def train(docs: DataFrame, model: Model, rounds: int = 0) -> dict[str, np.ndarra
     rows = sums.groupBy("at").applyInPandas(_added(["at"]), "at long, value binary, weight long").collect()  # the parameters, a fixed number
     if not rows:
         return model.weights
-    flat = np.concatenate([np.frombuffer(r.value, np.float64) / r.weight for r in sorted(rows, key=lambda r: r.at)])
+    flat = np.concatenate([np.frombuffer(r.value, np.float32) / r.weight for r in sorted(rows, key=lambda r: r.at)])
     out, at = {}, 0
     for k in names:
         v = model.weights[k]
-        out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+        out[k] = v + flat[at : at + v.size].reshape(v.shape)
         at += v.size
     return out
 
@@ -335,21 +341,22 @@ def prepare(train_docs: DataFrame, counts: DataFrame) -> Model:
             v += np.bincount(kind, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["k", "n", "v"])
 
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)  # of the words that aren't hot
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)  # of the words without an output of their own
     for r in counts.where(F.col("c") < least).select("word", "c").mapInArrow(sums, "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         n[r.k], v[r.k] = r.n, r.v
     kind = np.concatenate([np.arange(min(TOP, len(hot))), bucket(words)[TOP:]]).astype(np.int64)
-    inner_words = np.arange(len(hot))[TOP:]
-    sizes = np.bincount(kind[TOP:], minlength=CLASSES)
+    own = np.arange(len(hot))[TOP:OWN]
+    n += np.bincount(kind[OWN:], c[OWN:], CLASSES)
+    v += np.bincount(kind[OWN:], minlength=CLASSES)
+    sizes = np.bincount(kind[own], minlength=CLASSES)
     sizes[TOP:END] += 1
     first = np.concatenate([[0], np.cumsum(sizes)])
-    order = np.argsort(kind[TOP:], kind="stable")  # by class, the frequent ones first
-    spot = np.full(len(hot), -1, np.int64)
-    within = np.arange(len(order)) - np.searchsorted(kind[TOP:][order], kind[TOP:][order])
-    spot[inner_words[order]] = first[kind[TOP:][order]] + 1 + within
+    own = own[np.argsort(kind[own], kind="stable")]  # by class, the frequent ones first
+    spot = first[kind]
+    spot[own] += 1 + np.arange(len(own)) - np.searchsorted(kind[own], kind[own])
     inner = np.zeros(first[-1])
     inner[first[TOP:END]] = n[TOP:END] + 1
-    inner[spot[TOP:]] = c[TOP:]
+    inner[spot[own]] = c[own]
     mass = np.ones(CLASSES)
     mass[: min(TOP, len(hot))] += c[:TOP]
     mass[TOP:END] = np.add.reduceat(inner, first[TOP:END])
@@ -377,7 +384,8 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
                 which = np.append(np.where(place < 0, len(m.hot_counts) + 1, place), len(m.hot_counts))[word]
                 logs = hot_logs[which]
                 rare = which == len(m.hot_counts) + 1
-                score[rare] -= m.other_log[kind[rare]]
+                other = (spot >= 0) & (spot == m.first[kind])  # what rare words' counts add comes later
+                score[other] += logs[other] - m.other_log[kind[other]]
                 by_text = lambda v: np.bincount(text, v, n)  # noqa: B023, E731
                 known = by_text((~rare & ((word >= 0) | (m.ends > 0))).astype(float)).astype(np.int64)
                 pair, times = np.unique(text[rare] * max(1, len(distinct)) + word[rare], return_counts=True)
