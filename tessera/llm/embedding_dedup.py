@@ -2,7 +2,9 @@
 
 Vectors are scaled to length 1, where cosine c is the distance sqrt(2 - 2c). Coarse centroids and the codebooks
 of SUBSPACES parts of the residuals are fitted by k-means on a bounded sample; every vector is then put in the
-list of its label and nearest centroid, with its residual's codes and the exact length of what the codes miss.
+list of its label and nearest centroid, with its residual's codes and the exact length of what the codes miss:
+an entry of the list, coded once. There are as many centroids as leave about BLOCK entries in the lists of the
+largest label.
 
 Probing is sufficient, not approximate: a vector within distance r of a query lies in another list only if the
 plane between the two centroids is within r of the query, so just those lists are probed, and of two lists only
@@ -11,8 +13,9 @@ to a code, read from tables, differs from the true one by at most the length tha
 beyond r plus that are skipped, the others are compared exactly. So no link is lost to the index.
 
 Lists and the queries to them are split into blocks of about BLOCK vectors; a task compares one block with one
-other. It returns a count of links per vector and a spanning forest of them, never the pairs. Equal vectors with
-the same label are one node from the start, with their number.
+other, or with itself. It returns a count of links per vector and a spanning forest of them, never the pairs.
+Vectors travel in the bytes that they came in. Equal vectors with the same label are one node from the start,
+with their number.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label,
 link with nothing; so do vectors of different lengths. Rows with the same vec_id are vectors of their own. Null
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,8 @@ from tessera.sources.shared import steady
 COSINE = 0.98
 #: Vectors that the index is fitted on, about, if there are more, chosen by hash; k-means rounds; parts of a residual; codes of a part.
 SAMPLE, ROUNDS, SUBSPACES, CODES = 20_000, 8, 8, 64
-#: Coarse centroids: the square root of the nodes over CELL, at most CELLS. Vectors in a block.
-CELL, CELLS, BLOCK = 8, 4096, 2048
+#: Vectors in a block, and in a list on average; most centroids.
+BLOCK, CELLS = 8192, 4096
 SLACK = 1e-6
 
 
@@ -49,6 +53,14 @@ class Index:
     centroids: np.ndarray  # cells x dimension
     books: list[np.ndarray]  # per part: codes x its dimensions
     parts: list[np.ndarray]  # per part: its dimensions
+    kind: str  # of the numbers that vectors come in
+
+
+def units(vectors, kind: str) -> np.ndarray:
+    """The vectors (bytes of numbers of that kind) in double precision, scaled to length 1."""
+    x = np.frombuffer(b"".join(vectors), kind).astype(np.float64).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the square
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -68,55 +80,64 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[k : k + 4096] @ c.T - half, 1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def fit(sample: np.ndarray, nodes: int) -> Index:
-    """The index for about `nodes` vectors, from a sample of unit vectors."""
+def fit(sample: np.ndarray, cells: int, kind: str) -> Index:
+    """The index with so many centroids, from a sample of unit vectors."""
     dimension = sample.shape[1]
-    cells = max(1, min(CELLS, round(math.sqrt(nodes) / CELL)))
     centroids = _kmeans(sample, cells, 1)
     residual = sample - centroids[_nearest(sample, centroids)]
     parts = [p for p in np.array_split(np.arange(dimension), SUBSPACES) if len(p)]
-    return Index(centroids, [_kmeans(residual[:, p], CODES, 2 + k) for k, p in enumerate(parts)], parts)
-
-
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, key, unit): key and unit are null where the vector can't link."""
-    for batch in batches:
-        labels, keys, units = batch.column(1).to_pylist(), [], []
-        for label, v in zip(labels, batch.column(2)):
-            key = unit = None
-            if label is not None and v.is_valid and len(v.values) and not v.values.null_count:
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                top = np.abs(x).max()
-                if np.isfinite(top) and top > 0:
-                    key = hashlib.md5(str(label).encode() + b"," + (x + 0.0).tobytes()).digest()
-                    x = x / top  # no overflow in the square
-                    unit = (x / np.sqrt(x @ x)).tolist()
-            keys.append(key)
-            units.append(unit)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(units, pa.list_(pa.float64()))], ["vec_id", "label", "key", "unit"])
+    return Index(centroids, [_kmeans(residual[:, p], CODES, 2 + k) for k, p in enumerate(parts)], parts, kind)
+
+
+def _clean(kind: str):
+    """(vec_id, label, key, vec): key and vec (the components' bytes) are null where the vector can't link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            labels = batch.column(1).to_pylist()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.list_flatten(lists)  # of lists that aren't null, in order
+            x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(kind) + np.array(0, kind)  # no -0.0
+            ends = np.cumsum(sizes)
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+            some = np.concatenate([[0], np.cumsum(x != 0)])
+            links = (sizes > 0) & (bad[ends] == bad[ends - sizes]) & (some[ends] > some[ends - sizes])
+            raw, width = x.tobytes(), x.dtype.itemsize
+            vecs = [raw[width * (e - n) : width * e] if ok and label is not None else None for ok, label, e, n in zip(links.tolist(), labels, ends.tolist(), sizes.tolist())]
+            keys = [None if v is None else hashlib.md5(label.encode() + b"," + v).digest() for label, v in zip(labels, vecs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "label", "key", "vec"])
+
+    return run
+
+
+PLACED = "label string, cell int, home int, key binary, n long, vec binary, codes binary, missed double"
 
 
 def _place(index: Index, radius: float):
-    """Rows of both kinds: the list entry of each node (cell = home), and a probe for each list it must search."""
+    """Rows of both kinds: the list entry of each node (cell = home) with its codes, and a probe for each list it must search."""
     c = index.centroids
     gap = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(-1) if len(c) <= 512 else (c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T, 1e-300))
+    names = [f.split()[0] for f in PLACED.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for at in range(0, len(df), 2048):
-                part = df.iloc[at : at + 2048]
-                fits = part["unit"].map(len).to_numpy() == c.shape[1]
-                part = part[fits]
-                if not len(part):
-                    continue
-                x = np.stack(part["unit"].to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = units(part.column(3).to_pylist(), index.kind)
                 score = x @ c.T - (c * c).sum(1) / 2
                 home = score.argmax(1)
+                residual = x - c[home]
+                codes = np.stack([_nearest(residual[:, p], b) for p, b in zip(index.parts, index.books)], 1).astype(np.uint8)
+                missed = np.sqrt(sum(((residual[:, p] - b[q]) ** 2).sum(1) for p, b, q in zip(index.parts, index.books, codes.T)))
                 # distance from x to the plane between its centroid and another
                 plane = (score[np.arange(len(x)), home][:, None] - score) / gap[home]
                 row, cell = np.nonzero((plane <= radius + SLACK) & (np.arange(len(c)) > home[:, None]))
+                coded = pa.array([r.tobytes() for r in codes] + [None] * len(row), pa.binary())
+                missed = pa.array(np.append(missed, np.zeros(len(row))))
                 row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
-                yield pd.DataFrame({"label": part["label"].to_numpy()[row], "cell": cell, "home": home[row], "key": part["key"].to_numpy()[row], "n": part["n"].to_numpy()[row], "unit": part["unit"].to_numpy()[row]})
+                label, key, n, vec = (part.column(k).take(pa.array(row)) for k in range(4))
+                yield pa.RecordBatch.from_arrays([label, pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), key, n, vec, coded, missed], names)
 
     return run
 
@@ -141,33 +162,35 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
 
 
 def _compare(index: Index, cosine: float, radius: float):
-    """Links between a block of a list and a block of queries to it."""
-    dimension = index.centroids.shape[1]
+    """Links between a block of a list's entries and a block of queries to them, or among the entries of a block."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"a": [], "b": [], "n": []}).astype({"n": "int64"})
         entries, queries = df[~df["is_query"]], df[df["is_query"]]
+        within = df["l"].iloc[0] == df["q"].iloc[0] and not df["foreign"].iloc[0]
+        if within:
+            queries = entries
         if not len(entries) or not len(queries):
             return empty
-        y, x = (np.stack(d["unit"].to_numpy()).reshape(-1, dimension) for d in (entries, queries))
+        y = units(entries["vec"].tolist(), index.kind)
+        x = y if within else units(queries["vec"].tolist(), index.kind)
         cell = int(entries["cell"].iloc[0])
-        residual = y - index.centroids[cell]
-        codes = np.stack([_nearest(residual[:, p], b) for p, b in zip(index.parts, index.books)])
-        missed = np.sqrt(sum(((residual[:, p] - b[q]) ** 2).sum(1) for p, b, q in zip(index.parts, index.books, codes)))
-        reach = (radius + missed + SLACK) ** 2
+        codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(y), -1).T
+        reach = (radius + entries["missed"].to_numpy() + SLACK) ** 2
         yk, xk = entries["key"].to_numpy(), queries["key"].to_numpy()
         keys, number = np.unique(np.concatenate([yk, xk]), return_inverse=True)
         yi, xi = number[: len(yk)], number[len(yk) :]
         yn, xn = entries["n"].to_numpy(), queries["n"].to_numpy()
-        inner = queries["home"].to_numpy() == cell  # both ways round: one of them counts
         links, found_a, found_b = np.zeros(len(keys), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(x), 256):
-            q = x[at : at + 256] - index.centroids[cell]
+        for at in range(0, len(x), 128):
+            q = x[at : at + 128] - index.centroids[cell]
             distance = np.zeros((len(q), len(y)))
             for p, b, code in zip(index.parts, index.books, codes):
                 tables = ((q[:, p][:, None] - b[None]) ** 2).sum(-1)
                 distance += tables[:, code]
-            i, j = np.nonzero((distance <= reach) & (~inner[at : at + 256, None] | (xi[at : at + 256, None] < yi[None])))
+            i, j = np.nonzero(distance <= reach)
+            if within:  # both ways round: one of them counts
+                i, j = i[xi[i + at] < yi[j]], j[xi[i + at] < yi[j]]
             for k in range(0, len(i), 1 << 16):
                 ii, jj = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
                 hit = np.einsum("ij,ij->i", x[ii], y[jj]) >= cosine
@@ -189,15 +212,20 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links and component_id of every row."""
     radius = math.sqrt(2 - 2 * cosine)
     steady(embeddings.sparkSession)  # else the blocks of a list stay together, as the list was dealt
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
-    rows = stored(rows.mapInArrow(_clean, "vec_id long, label string, key binary, unit array<double>"), "vectors")
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.any_value("label").alias("label"), F.any_value("unit").alias("unit"), F.count(F.lit(1)).alias("n"))
+    kind = "<f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    values = "embedding" if kind == "<f4" else F.col("embedding").cast("array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), values)
+    rows = stored(rows.mapInArrow(_clean(kind), "vec_id long, label string, key binary, vec binary"), "vectors")
+    nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes, "vector-nodes")
     places = None
-    for r in nodes.groupBy(F.size("unit").alias("d")).count().orderBy("d").collect():  # the lengths of the vectors: one, as a rule
-        sized = nodes.where(F.size("unit") == r.d)
-        sample = np.array([s.unit for s in hash_sample(sized, "key", SAMPLE).select("unit").orderBy("key").collect()])
-        found = _links(sized, fit(sample, r["count"]), cosine, radius)
+    size = F.octet_length("vec").alias("d")
+    largest = nodes.groupBy(size, "label").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n"))
+    for r in largest.orderBy("d").collect():  # the lengths of the vectors: one, as a rule
+        sized = nodes.where(F.octet_length("vec") == r.d)
+        sample = [s.vec for s in hash_sample(sized, "key", SAMPLE).select("key", "vec").orderBy("key").collect()]
+        index = fit(units(sample, kind), max(1, min(CELLS, r.n // BLOCK)), kind)
+        found = _links(sized, index, cosine, radius)
         places = found if places is None else places.unionByName(found)
     if places is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -216,19 +244,23 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def _links(nodes: DataFrame, index: Index, cosine: float, radius: float) -> DataFrame:
     """(a, null, links of a) and (a, b, 0) for the links of a spanning forest of each pair of blocks."""
-    placed = "label string, cell int, home int, key binary, n long, unit array<double>"
-    places = nodes.select("label", "key", "n", "unit").mapInPandas(_place(index, radius), placed)
+    places = nodes.select("label", "key", "n", "vec").mapInArrow(_place(index, radius), PLACED)
     places = stored(places, "vector-places")
-    size = places.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("cell") == F.col("home")).alias("entries"))
+    own = F.col("cell") == F.col("home")
+    size = places.groupBy("label", "cell").agg(F.count_if(~own).alias("queries"), F.count_if(own).alias("entries"))
     blocks = size.where("entries > 0").select("label", "cell", F.ceil(F.col("entries") / BLOCK).cast("int").alias("nl"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("nq"))
     sized = places.join(stored(blocks, "vector-blocks"), ["label", "cell"])
     sliced = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    common = ["label", "cell", "home", "key", "n", "unit"]
-    entries = sized.where("cell = home").select(*common, sliced("nl").alias("l"), every("nq").alias("q"), F.lit(False).alias("is_query"))
-    queries = sized.select(*common, sliced("nq").alias("q"), every("nl").alias("l"), F.lit(True).alias("is_query"))
-    both = entries.unionByName(queries)
-    return both.groupBy("label", "cell", "l", "q").applyInPandas(_compare(index, cosine, radius), "a binary, b binary, n long")
+    every = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)))
+    common = ["label", "cell", "key", "n", "vec", "codes", "missed"]
+    # entries with entries: pairs of blocks, a block with itself once
+    among = sized.where(own).select(*common, sliced("nl").alias("b"), every("nl").alias("o"))
+    among = among.select(*common, F.least("b", "o").alias("l"), F.greatest("b", "o").alias("q"), (F.col("b") > F.col("o")).alias("is_query"), F.lit(False).alias("foreign"))
+    # entries with the queries of other lists
+    entries = sized.where(own).select(*common, sliced("nl").alias("l"), every("nq").alias("q"), F.lit(False).alias("is_query"), F.lit(True).alias("foreign"))
+    queries = sized.where(~own).select(*common, every("nl").alias("l"), sliced("nq").alias("q"), F.lit(True).alias("is_query"), F.lit(True).alias("foreign"))
+    both = among.unionByName(entries).unionByName(queries)
+    return both.groupBy("label", "cell", "l", "q", "foreign").applyInPandas(_compare(index, cosine, radius), "a binary, b binary, n long")
 
 
 #: The same in DuckDB's SQL, for small tables of whole vectors: all pairs of a label, and reachability. Meant for tests.
