@@ -9,7 +9,7 @@ about PER_CLASS rows of a label, chosen by hash of doc_id, of which at most half
 text is scored whole.
 
 Cases: a null text counts as empty; empty texts have the feature 0. Rows with the same doc_id are scored one
-by one. Without labelled text of both kinds, two rows each, the score is the share of label 1 among the rows learnt from,
+by one; the least of their texts is learnt from. Without labelled text of both kinds, two rows each, the score is the share of label 1 among the rows learnt from,
 with one added to each count. Extra columns are ignored.
 """
 
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, hash_sample
+from tessera.llm.common import fold, hash_sample, stored
 
 #: Labelled rows of each label that are learnt from, about, if there are more; one in SHARE of them, and at most IN_DICTIONARY, is for the
 #: dictionary, the others are to calibrate: some of either label at every size.
@@ -104,18 +104,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not chosen:
         return Model(b"", b"", 0.0, 0.0)
     picked = docs.sparkSession.createDataFrame([(int(k), int(v)) for k, v in chosen.items()], "__id long, quality int")
-    # about 2 * PER_CLASS rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).drop("__id")
+    # about 2 * PER_CLASS rows, however often a doc_id is there: combined before the shuffle, written once
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    rows = stored(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled-texts")
     order, found = F.xxhash64("doc_id"), {}
-    there = {r.quality: r.n for r in rows.groupBy("quality").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    there = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     for q in (0, 1):
         short = rows.where((F.col("quality") == q) & (F.length("text").between(1, LONGEST)))
         most = min(IN_DICTIONARY, max(1, there.get(q, 0) // SHARE))
         found[q] = short.orderBy(order, "doc_id", "text").limit(most).collect()
     good, bad = (_dictionary([r.text for r in found[q]]) for q in (1, 0))
     used = {r.doc_id for q in (0, 1) for r in found[q]}
-    rest = picked.where(~F.col("__id").isin(*used)) if len(used) < len(chosen) else picked
-    rest = docs.select("doc_id", "text").join(F.broadcast(rest), F.col("doc_id") == F.col("__id")).drop("__id", "doc_id")
+    rest = (rows.where(~F.col("doc_id").isin(*used)) if len(used) < len(chosen) else rows).drop("doc_id")
     seen = [(r.feature, r.quality) for r in _with_feature(rest, good, bad).collect()]
     x, y = np.array([f for f, _ in seen], float), np.array([q for _, q in seen], float)
     # each class is sampled up to the same bound: weigh the offset back to the labels' own shares
