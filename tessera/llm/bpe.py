@@ -7,7 +7,8 @@ steps. Pieces of up to WIDEST bytes are merged in lockstep, many trees side by s
 have a tree of their own. Pieces already seen in the task are looked up in a bounded table.
 
 Cases: a null text counts as empty and has no ids. Rows with the same doc_id are encoded one by one, null
-doc_ids are passed through, extra columns are ignored. Every byte has a token, so every text can be encoded
+doc_ids are passed through, extra columns are ignored. A long text is taken in parts that meet after a line break
+between two visible characters, where the pattern splits in any case. Every byte has a token, so every text can be encoded
 and decodes to itself.
 """
 
@@ -24,8 +25,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Bytes of the pieces that are merged in lockstep; pieces kept in a task's table; characters taken at once.
-WIDEST, KEPT, AT_ONCE = 64, 200_000, 4 << 20
+from tessera.llm.common import text_parts
+
+#: Bytes of the pieces that are merged in lockstep; pieces kept in a task's table; characters taken at once, and of a part of a long text.
+WIDEST, KEPT, AT_ONCE, PART = 64, 200_000, 1 << 20, 1 << 20
 NONE = np.int64(1) << 40
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -198,6 +201,16 @@ class Bpe:
         seen = self.seen.__getitem__
         return [b"".join(map(seen, p)) for p in split]
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """The number of a text's ids, and the digests of the ids and of the bytes that they decode to; the text is taken in parts."""
+        n, coded, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for part in text_parts(text, PART):
+            (ids,) = self.encode([part])
+            n += len(ids) // 4
+            coded.update(ids)
+            decoded.update(self.decode([ids])[0])
+        return n, coded.hexdigest(), decoded.hexdigest()
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
         lengths = self.length[flat]
@@ -223,9 +236,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                 while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
                     size += len(texts[end])
                     end += 1
-                ids = bpe.encode(texts[at:end])
-                digests = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, bpe.decode(ids))]
-                columns = [batch.column(0).slice(at, end - at), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, digests)]
+                if size > PART:  # a long text among them: each in parts, so that no more than one is held as ids
+                    found = [bpe.digests(t) for t in texts[at:end]]
+                else:
+                    ids = bpe.encode(texts[at:end])
+                    found = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in zip(ids, bpe.decode(ids))]
+                columns = [batch.column(0).slice(at, end - at), *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string(), pa.string())))]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
                 at = end
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,19 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         at = end
 
 
+#: Between a line break after a visible character and another visible character the tokenizers' patterns split in any case.
+_SAFE = re.compile(r"(?<=\S\n)(?=\S)")
+
+
+def text_parts(text: str, most: int) -> Iterator[str]:
+    """The text in parts of at least `most` characters that meet where a tokenizer splits; whole if there is no such place."""
+    at = 0
+    while len(text) - at > most and (found := _SAFE.search(text, at + most)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, text) of the maximal runs of true bytes, cut where texts meet."""
     n = len(inside)

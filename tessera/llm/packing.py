@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -31,14 +30,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import CHUNK_BYTES
+from tessera.llm.common import CHUNK_BYTES, text_parts
 
 LENGTH, END_ID = 2048, 1
 #: Penalties in tokens of padding; distance of the cuts inside long sentences.
 SENTENCE, INSIDE, STEP = 4, 24, 32
 #: Characters of a part of a very long text.
 PART = 1 << 20
-_SAFE = re.compile(r"(?<=\S\n)(?=\S)")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,13 +66,10 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
     def parts(self, text: str) -> Iterator[list[int]]:
-        at = 0
-        while len(text) - at > PART and not any(s in text for s in self.special):
-            if not (found := _SAFE.search(text, at + PART)):
-                break
-            yield self(text[at : found.start()])
-            at = found.start()
-        yield self(text[at:] if at else text)
+        if len(text) > PART and not any(s in text for s in self.special):
+            yield from map(self, text_parts(text, PART))
+        else:
+            yield self(text)
 
 
 def cut(at: list[int], penalty: list[int], length: int = LENGTH) -> list[int]:

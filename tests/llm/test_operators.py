@@ -122,6 +122,7 @@ def test_language_model_scores_word_by_word(spark, monkeypatch):
     from tessera.llm import language_model as lm
 
     monkeypatch.setattr(lm, "HOT", 2000)  # words beyond the table
+    monkeypatch.setattr(lm, "OWN", 1200)  # and words of it without an output
     seen, fitted = [], lm.fitted
     monkeypatch.setattr(lm, "fitted", lambda *a: seen.append(fitted(*a)) or seen[0])
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
@@ -136,10 +137,12 @@ def test_language_model_scores_word_by_word(spark, monkeypatch):
 
     suffix = dict(zip(all_words := sorted({name(w) for x in texts.values() for w in x}), lm.bucket(pa.array(all_words, pa.large_string())).tolist()))
     kind = lambda w: lm.END if w is None else int(m.kind[place[w]]) if w in place else suffix[w]
+    output = lambda w: int(m.spot[place[w]] - m.first[suffix[w]]) if w in place else 0
     rest = defaultdict(list)
     for w, c in counts.items():
-        if w not in place:
+        if kind(w) >= lm.TOP and not output(w):
             rest[suffix[w]].append(c)
+    assert any(w in place for w in counts if kind(w) >= lm.TOP and not output(w)) and any(w not in place for w in counts)
     w64 = {k: v.astype(float) for k, v in m.weights.items()}
 
     def softmax(x):
@@ -151,9 +154,8 @@ def test_language_model_scores_word_by_word(spark, monkeypatch):
         out = math.log10(softmax(w64["target"] @ h + w64["bias"])[k])
         if lm.TOP <= k < lm.END:
             inner = w64["words"][m.first[k] : m.first[k + 1]]
-            own = m.spot[place[w]] - m.first[k] if w in place else 0
-            out += math.log10(softmax(inner[:, :-1] @ h + inner[:, -1])[own])
-            if w not in place:
+            out += math.log10(softmax(inner[:, :-1] @ h + inner[:, -1])[output(w)])
+            if not output(w):
                 out += math.log10((counts[w] + 1) / (sum(rest[k]) + len(rest[k]) + 1))
         return out
 
@@ -236,13 +238,48 @@ def test_line_dedup(spark, docs):
     got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_lines(docs).collect()]
     assert sorted(got, key=repr) == _deduped(pairs(docs)) and any(r[2] for r in got)
     assert dedup_lines(docs.limit(0)).count() == 0
-    runs = LineRuns(2, fanout=2)
+    runs = LineRuns(2)
     for k in range(5):  # batches of hashes: some new, some seen, some settled
         runs.add(spark.createDataFrame([(h, h, 10 - k) for h in range(k, k + 3)], "h1 long, h2 long, doc_id long"))
-    assert len(runs.levels) == 3
+    assert [r is None for r in runs.levels] == [False, True, False]  # five runs: one of level 0, one of four
     assert sorted((r.h1, r.top) for r in runs.frequent().collect()) == [(1, 10), (2, 10), (3, 9), (4, 8), (5, 7)]
 
 
+def test_line_runs_meet_without_an_exchange(spark):
+    """A merge of runs reads them as they lie: sort-merge joins, no exchange, no sort."""
+    from tessera.llm.line_dedup import LineRuns
+    from tessera.sources.shared import merging
+
+    rows = lambda k: spark.range(k, k + 5000).selectExpr("xxhash64(id) as h1", "xxhash64(id, 1) as h2", f"{9 - k} as doc_id")
+    runs = LineRuns(2)
+    for k in range(3):
+        runs.add(rows(k))
+    with merging(spark):
+        merged = runs.frequent()
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert merged.count() == 5000
+
+
+def test_line_dedup_of_repeated_ids_null_ids_and_a_long_text(spark):
+    """The operator, the SQL and brute force agree where rows share an id, have none, or drop very many lines."""
+    import duckdb
+    import pandas as pd
+
+    from tessera.llm.line_dedup import SQL, dedup_lines
+
+    common = [f"line {k} of a long list that many of these documents hold, word for word" for k in range(20_000)]
+    rows = [(k, "\n".join(common[:3])) for k in range(4)] + [(4, common[0] + "\nown"), (4, common[0]), (4, "else")]
+    rows += [(None, "\n".join(common[1:4] + [f"a{k}"])) for k in range(30)] + [(d, "\n".join(common)) for d in range(10, 16)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=repr)
+    assert got == _deduped(rows) and sum(r[2] for r in got) > 100_000
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "text": [t for _, t in rows]}))
+    con.execute("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM given")
+    assert got == sorted(con.execute(SQL).fetchall(), key=repr)
+
+
 def _classes(rows, threshold=0.8):
     sets, texts = [], []
     for _, t in rows:
@@ -368,6 +405,63 @@ def test_bpe(spark, docs):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(s) and b.decode([ids]) == [s.encode()]
 
 
+def long_texts():
+    """Texts of over four million characters: with line breaks, without, and with few places to part them."""
+    rng = np.random.default_rng(9)
+    words = np.array(["to", "the", "river", "Über", "señor", "☃", "12", "it's", "--", "a.b"])
+    prose = "\n".join(" ".join(words[rng.integers(0, len(words), 12)]) for _ in range(90_000))
+    return [(1, prose), (2, "x" * 200_000 + " " + prose.replace("\n", " ")), (3, prose.replace("\n", " \n ")), (4, "short"), (5, prose[:1_500_000] + "\n\n" + prose[:1_500_000])]
+
+
+def test_long_texts_are_encoded_and_packed_whole(spark):
+    import base64
+
+    import public_tokenizers as tok
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from tessera.llm.bpe import encode_documents
+    from tessera.llm.packing import pack
+
+    rows = long_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = tok.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    whole = tiktoken.Encoding("x", pat_str=tok.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for d, t in rows:
+        ids = np.array(whole.encode_ordinary(t), "<u4")
+        want.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(tuple(r) for r in encode_documents(docs, path, tok.PATTERN).collect()) == want
+    json_path, ranks_path = tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken")
+    tokenizer = Tokenizer.from_file(json_path)
+    pieces = defaultdict(list)
+    for r in pack(docs, json_path, ranks_path, tok.PATTERN).collect():
+        pieces[r.doc_id].append(r)
+    for d, t in rows:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces[d], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_the_ranks_give_the_ids_of_the_tokenizer():
+    """Every code point, alone and between others: the two files of one vocabulary agree."""
+    import public_tokenizers as tok
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import Encoder
+
+    path = tok.path("byte_bpe_50k.json")
+    fast, whole = Encoder(open(path).read(), open(tok.path("byte_bpe_50k.tiktoken"), "rb").read(), tok.PATTERN), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f" {c}".join(points[k : k + 512]) if k % 1024 else "".join(points[k : k + 512]) for k in range(0, len(points), 512) for c in ("a ",)]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
+        assert fast(text) == want.ids
+
+
 def _cosines(rows):
     out = {}
     unit = {}
@@ -388,9 +482,11 @@ def _cosines(rows):
 
 
 def test_embeddings(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     from tessera.llm import embedding_dedup as ed
 
-    monkeypatch.setattr(ed, "BLOCK", 16)  # several blocks a list
+    monkeypatch.setattr(ed, "BLOCK", 16)  # several lists, several blocks each
     rng = np.random.default_rng(5)
     base = rng.normal(size=(20, 8))
     rows = []
@@ -403,6 +499,8 @@ def test_embeddings(spark, monkeypatch):
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, cell int").repartition(5)
     assert sorted((tuple(r) for r in ed.embedding_dedup(df).collect()), key=repr) == _cosines(rows)
     assert ed.embedding_dedup(df.limit(0)).count() == 0
+    wide = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted((tuple(r) for r in ed.embedding_dedup(wide).collect()), key=repr) == _cosines(rows)
 
 
 def test_packing(spark, docs):
