@@ -18,11 +18,12 @@ REPORTS = {
 
 def main(arguments: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tessera")
-    p.add_argument("command", choices=[*REPORTS, "suite", "query", "registry"])
+    p.add_argument("command", choices=[*REPORTS, "suite", "compare", "check", "query", "registry"])
     p.add_argument("folder", nargs="?")
     p.add_argument("--universe", default="current", choices=["current", "point_in_time"])
     p.add_argument("--raw", action="store_true", help="top minus bottom, whatever is predicted")
     p.add_argument("--name", help="a query's name")
+    p.add_argument("--store", help="a folder that keeps the suite's verdicts; check reads it")
     p.add_argument("--out", help="a folder for the result as Parquet, instead of printing it")
     a = p.parse_args(arguments)
     from tessera.operators import scoring
@@ -39,7 +40,26 @@ def main(arguments: list[str] | None = None) -> int:
     from tessera.plans import registry, suite
     from tessera.plans.adapters import Inputs
 
-    if a.command == "suite":
+    if a.command == "check":
+        from tessera.plans import publishing
+
+        problems = publishing.check_store(spark.read.parquet(a.store or a.folder))
+        print("\n".join(problems) or f"no stale or repeated verdicts; registry {scoring.digest()[:12]}")
+        return int(bool(problems))
+    if a.command == "compare":
+        frames = {"gap": registry.QUERIES["universe_gap"](spark, a.folder)}
+    elif a.command == "suite" and a.store:
+        from tessera.plans import publishing
+
+        inputs = Inputs(spark, a.folder)
+        try:
+            n = publishing.store_suite(suite.score(inputs, a.universe, orient=not a.raw), a.universe, inputs.days.count(), a.store)
+        except publishing.PublishError as e:
+            print(f"not stored: {e}", file=sys.stderr)
+            return 1
+        print(f"{n} verdicts of {a.universe} stored")
+        return 0
+    elif a.command == "suite":
         frames = {"suite": suite.score(Inputs(spark, a.folder), a.universe, orient=not a.raw).select("key", "verdict", "oriented_sharpe", "deflated_psr", "p_value_adjusted", "reasons")}
     else:
         names = [a.name] if a.command == "query" else REPORTS[a.command]

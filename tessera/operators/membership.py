@@ -63,6 +63,37 @@ def spacing(snapshots: DataFrame) -> DataFrame:
     return marks.where("prev is not null").select("prev", F.col("ts").alias("as_of"), F.datediff("ts", "prev").alias("gap_days"))
 
 
+#: Days between snapshots from which membership is uncertain.
+LONG_GAP = 45
+
+
+def long_gaps(snapshots: DataFrame, days: DataFrame, longer_than: int = LONG_GAP) -> DataFrame:
+    """(prev, as_of, gap_days, inside): gaps of more than so many days, and whether one overlaps the priced days: only those cost anything now."""
+    span = days.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
+    rows = spacing(snapshots).where(F.col("gap_days") > longer_than).crossJoin(F.broadcast(span))  # one row
+    return rows.select("prev", "as_of", "gap_days", ((F.col("as_of") > F.col("_lo")) & (F.col("prev") < F.col("_hi"))).alias("inside"))
+
+
+def resolution(snapshots: DataFrame, days: DataFrame) -> DataFrame:
+    """One row: snapshots within the priced days, the median and the worst days between them: how late a removal may be dated."""
+    span = days.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
+    inside = snapshots.select("as_of").distinct().crossJoin(F.broadcast(span)).where("as_of between _lo and _hi").select("as_of")
+    gaps = spacing(inside).agg(F.median("gap_days").alias("median_days"), F.max("gap_days").alias("worst_days"))
+    return inside.agg(F.count(F.lit(1)).alias("n_snapshots")).crossJoin(F.broadcast(gaps))
+
+
+def day_clusters(membership: DataFrame) -> DataFrame:
+    """(n_member_days, n_names, ends, kind): groups of names with as many member days, fewer than the most, that all end together.
+
+    Those that end on the last day joined late; the others were removed.
+    """
+    per_name = membership.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_member_days"), F.max("ts").alias("_end"))
+    most = membership.agg(F.count_distinct("ts").alias("_days"), F.max("ts").alias("_last"))
+    rows = per_name.crossJoin(F.broadcast(most)).where("n_member_days < _days").groupBy("n_member_days", "_last")
+    out = rows.agg(F.count(F.lit(1)).alias("n_names"), F.min("_end").alias("ends"), F.max("_end").alias("_to")).where("ends = _to")
+    return out.select("n_member_days", "n_names", "ends", F.when(F.col("ends") == F.col("_last"), "joined late").otherwise("removed").alias("kind"))
+
+
 def spells(snapshots: DataFrame) -> DataFrame:
     """(ticker, first_seen, last_seen, n_snapshots, change): whether a name joined late, was removed, or both."""
     ends = snapshots.agg(F.min("as_of").alias("_lo"), F.max("as_of").alias("_hi"))

@@ -86,6 +86,22 @@ def public(notes: DataFrame) -> DataFrame:
     return notes.where(may).select("note_id", "created_at", "source", "hypothesis", "backtests")
 
 
+def by_id(notes: DataFrame, note_id: str) -> DataFrame:
+    """The note of that id, or no row."""
+    return notes.where(F.col("note_id") == note_id).limit(1)
+
+
+def by_key(notes: DataFrame, eval_key: str) -> DataFrame:
+    """The newest note of a registered anomaly, or no row."""
+    return recent(notes.where(F.col("eval_key") == eval_key), 1)
+
+
+def counts(notes: DataFrame) -> DataFrame:
+    """(total, publishable, unpublishable), by the rule and not by a stored column."""
+    may = F.count_if(F.size(unpublishable_reasons()) == 0)
+    return notes.agg(F.count(F.lit(1)).alias("total"), may.alias("publishable"), (F.count(F.lit(1)) - may).alias("unpublishable"))
+
+
 def recent(notes: DataFrame, k: int) -> DataFrame:
     return notes.orderBy(F.desc("created_at"), "note_id").limit(k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What counts as a numeral, how near is equal, up to where integers are exempt, days of a year.
@@ -10,6 +10,25 @@ NUMERAL = r"-?\d[\d,]*\.?\d*(?:[eE][-+]?\d+)?"
 TOLERANCE, EXEMPT, YEAR, PLACES = 0.005, 12, 252, 5
 
 
+#: Characters quoted on either side of a numeral.
+AROUND = 40
+
+
+def contexts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pos, context): each numeral with AROUND characters on either side, line breaks as spaces.
+
+    The text between numerals gives their places: what lies before the k-th is the first k gaps and k numerals.
+    """
+    n = F.length("_literal")
+    rows = docs.select(key, F.col(text).alias("_text"), F.regexp_extract_all(F.col(text), F.lit(NUMERAL), F.lit(0)).alias("_all"), F.split(F.col(text), NUMERAL, -1).alias("_gaps"))
+    rows = rows.select(key, "_text", F.posexplode(F.arrays_zip(F.col("_all").alias("l"), F.slice("_gaps", 1, F.size("_all")).alias("g"))).alias("pos", "_z")).select(key, "_text", "pos", F.col("_z.l").alias("_literal"), F.col("_z.g").alias("_gap"))
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # a note's numerals
+    start = F.coalesce(F.sum(F.length("_gap") + n).over(before), F.lit(0)) + F.length("_gap")
+    low = F.greatest(F.lit(0), start - AROUND)
+    quoted = F.substring("_text", (low + 1).cast("int"), (start + n + AROUND - low).cast("int"))
+    return rows.select(key, "pos", F.regexp_replace(quoted, "\n", " ").alias("context"))
+
+
 def numerals(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, literal, value) of each numeral; what doesn't parse is left out."""
     found = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(NUMERAL), F.lit(0))).alias("pos", "literal"))

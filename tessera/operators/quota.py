@@ -49,11 +49,36 @@ def runs_left(day: DataFrame, limits: Limits) -> DataFrame:
 
 
 def state_at(runs: DataFrame) -> DataFrame:
-    """Each run with what its day had used before it: _spend and _runs over all visitors, mine for its own."""
-    before = lambda *keys: Window.partitionBy(*keys).orderBy("created_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = runs.withColumn("day", F.to_date("created_at"))
-    spend = F.coalesce(F.sum("cost").over(before("day")), F.lit(0.0))
-    return rows.withColumns({"spend_before": spend, "runs_before": F.count(F.lit(1)).over(before("day")), "mine_before": F.count(F.lit(1)).over(before("day", "visitor"))})
+    """Each run with what its day had used before it: spend_before and runs_before over all visitors, mine_before for its own.
+
+    A day is taken minute by minute: windows run within a minute, and what the minutes before have used, at most 1,440
+    rows a day, is added to them. So no task holds a day's runs.
+    """
+    at = F.col("created_at")
+    rows = runs.withColumns({"day": F.to_date(at), "_minute": F.hour(at) * 60 + F.minute(at)})
+    inside = lambda *keys: Window.partitionBy(*keys, "_minute").orderBy("created_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_spend": F.coalesce(F.sum("cost").over(inside("day")), F.lit(0.0)), "_runs": F.count(F.lit(1)).over(inside("day")), "_mine": F.count(F.lit(1)).over(inside("day", "visitor"))})
+
+    def earlier(keys: list[str], **sums: str) -> DataFrame:
+        """What the minutes before each minute have used."""
+        used = runs.select(F.to_date(at).alias("day"), (F.hour(at) * 60 + F.minute(at)).alias("_minute"), *(k for k in keys if k != "day"), F.coalesce("cost", F.lit(0.0)).alias("cost"), F.lit(1).alias("one"))
+        used = used.groupBy(*keys, "_minute").agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+        before = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+        found = used.select(*(F.col(k).alias(f"_k{k}") for k in keys), F.col("_minute").alias("_m"), *(F.sum(name).over(before).alias(name) for name in sums))
+        return found
+
+    def on(found: DataFrame, keys: list[str]) -> Column:
+        same = F.col("_minute") == F.col("_m")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{k}"))
+        return same
+
+    day, mine = earlier(["day"], _s="cost", _r="one"), earlier(["day", "visitor"], _v="one")
+    rows = rows.join(day, on(day, ["day"]), "left").drop("_kday", "_m")
+    rows = rows.join(mine, on(mine, ["day", "visitor"]), "left").drop("_kday", "_kvisitor", "_m")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    out = rows.withColumns({"spend_before": plus("_spend", "_s"), "runs_before": plus("_runs", "_r"), "mine_before": plus("_mine", "_v")})
+    return out.drop("_minute", "_spend", "_runs", "_mine", "_s", "_r", "_v")
 
 
 def clean_question(text: Column, least: int = 12, most: int = 300) -> Column:

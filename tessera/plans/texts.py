@@ -106,6 +106,29 @@ def recent_notes(p: Inputs) -> DataFrame:
     return notes.recent(_notes(p), 20).select("note_id")
 
 
+@query(f"WITH {_NOTES_SQL} SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE n_reasons = 0) AS BIGINT) AS publishable, CAST(count(*) FILTER (WHERE n_reasons > 0) AS BIGINT) AS unpublishable FROM reasons")
+def note_counts(p: Inputs) -> DataFrame:
+    return notes.counts(_notes(p))
+
+
+@query(f"WITH {_NOTES_SQL} SELECT 'n' || i AS note_id, n_reasons FROM reasons WHERE i = 77")
+def note_by_id(p: Inputs) -> DataFrame:
+    return notes.by_id(_notes(p), "n77").select("note_id", F.size(notes.unpublishable_reasons()).alias("n_reasons"))
+
+
+_CONTEXT = "replace(substr(text, CAST(greatest(0, place - 40) AS INTEGER) + 1, CAST(place + length(literal) + 40 - greatest(0, place - 40) AS INTEGER)), chr(10), ' ')"
+
+
+@query(f"""WITH found AS (SELECT item_id, text, unnest(range(len(l))) AS pos, unnest(l) AS literal, unnest(g[1:len(l)]) AS gap
+  FROM (SELECT item_id, text, regexp_extract_all(text, '{_NUMERAL}') AS l, string_split_regex(text, '{_NUMERAL}') AS g FROM (SELECT item_id, text || ' ' || item_id || ' of 1,250.5 at -3' AS text FROM benchmark))),
+placed AS (SELECT *, coalesce(sum(length(gap) + length(literal)) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS place FROM found)
+SELECT item_id, CAST(pos AS INTEGER) AS pos, {_CONTEXT} AS context FROM placed""")
+def numeral_contexts(p: Inputs) -> DataFrame:
+    """Every numeral of the benchmark's items, each with a few added, between the words around it."""
+    texts = p.table("benchmark").select("item_id", F.concat("text", F.lit(" "), F.col("item_id").cast("string"), F.lit(" of 1,250.5 at -3")).alias("text"))
+    return provenance.contexts(texts, "item_id")
+
+
 _FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(f, '{pattern}') THEN '{name}'" for pattern, name in notes.FAMILIES) + " ELSE f END"
 
 

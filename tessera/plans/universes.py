@@ -101,6 +101,26 @@ _SPELLS = """SELECT ticker, first_seen, last_seen, n_snapshots, CASE WHEN first_
 FROM (SELECT ticker, min(as_of) AS first_seen, max(as_of) AS last_seen, CAST(count(DISTINCT as_of) AS BIGINT) AS n_snapshots FROM snapshots GROUP BY 1) CROSS JOIN (SELECT min(as_of) AS lo, max(as_of) AS hi FROM snapshots)"""
 
 
+_GAPS = "SELECT prev, as_of, CAST(as_of - prev AS INTEGER) AS gap_days FROM (SELECT as_of, lag(as_of) OVER (ORDER BY as_of) AS prev FROM (SELECT DISTINCT as_of FROM snapshots)) WHERE prev IS NOT NULL"
+
+
+@query(with_clause(f"SELECT *, as_of > (SELECT min(ts) FROM days) AND prev < (SELECT max(ts) FROM days) AS inside FROM ({_GAPS}) WHERE gap_days > 90", ["snapshots", "days"]))
+def long_gaps(p: Inputs) -> DataFrame:
+    """Quarterly snapshots lie 90 days apart or more."""
+    return membership.long_gaps(p.snapshots, p.days, 90)
+
+
+@query(with_clause(f"""SELECT (SELECT CAST(count(DISTINCT as_of) AS BIGINT) FROM snapshots) AS n_snapshots, median(gap_days) AS median_days, max(gap_days) AS worst_days FROM ({_GAPS})""", ["snapshots"]))
+def snapshot_resolution(p: Inputs) -> DataFrame:
+    return membership.resolution(p.snapshots, p.days)
+
+
+@query(with_clause("""SELECT n AS n_member_days, CAST(count(*) AS BIGINT) AS n_names, min(e) AS ends, CASE WHEN min(e) = (SELECT max(ts) FROM member) THEN 'joined late' ELSE 'removed' END AS kind
+FROM (SELECT ticker, CAST(count(*) AS BIGINT) AS n, max(ts) AS e FROM member GROUP BY 1) WHERE n < (SELECT count(DISTINCT ts) FROM member) GROUP BY n HAVING min(e) = max(e)""", ["member"]))
+def day_clusters(p: Inputs) -> DataFrame:
+    return membership.day_clusters(membership.membership_panel(p.snapshots, p.days))
+
+
 @query(with_clause(_SPELLS, ["snapshots"]))
 def membership_spells(p: Inputs) -> DataFrame:
     return membership.spells(p.snapshots)

@@ -79,7 +79,9 @@ def constituents_csv(revisions: DataFrame, text: str = "csv_text") -> DataFrame:
     lines = F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x) != "")
     cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
     at = F.array_position(cells(F.get(lines, F.lit(0))), "Symbol")
-    rows = F.transform(F.filter(lines, lambda _, i: i > 0), lambda x: normalise_ticker(F.get(cells(x), (at - 1).cast("int"))))
+    # the place beside each line: inside the function of a line it would be looked for again with every line
+    both = F.filter(F.arrays_zip(lines.alias("line"), F.array_repeat(at, F.size(lines)).alias("at")), lambda _, i: i > 0)
+    rows = F.transform(both, lambda x: normalise_ticker(F.get(cells(x["line"]), (x["at"] - 1).cast("int"))))
     found = F.when(at > 0, F.array_distinct(F.filter(rows, lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
     return revisions.withColumn("symbols", found)
 

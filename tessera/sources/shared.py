@@ -46,14 +46,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
 
-    The table goes when the driver's Python ends.
+    The table goes when the driver's Python ends, or with release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     out = df.write
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stored_at = path
+    return read
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that stored() has written, once nothing that is still to be read depends on them."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            _delete(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, name: str, path: str) -> None:

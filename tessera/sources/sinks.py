@@ -40,9 +40,16 @@ def delete(existing: DataFrame, gone: DataFrame, keys: Sequence[str]) -> tuple[D
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrites a Parquet table that df may itself read: written beside it first, then moved."""
-    spark = df.sparkSession
+    _move(df.sparkSession, _beside(df, path), path)
+
+
+def _beside(df: DataFrame, path: str) -> str:
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     df.write.parquet(beside)
+    return beside
+
+
+def _move(spark: SparkSession, beside: str, path: str) -> None:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(fs_path(path), True)
@@ -86,9 +93,10 @@ def copy_table(spark: SparkSession, source: str, target: str) -> int:
     n = spark.read.parquet(source).count()
     if not n:
         raise ValueError("the source is empty")
-    spark.read.parquet(source).write.mode("overwrite").parquet(target)
-    if (m := spark.read.parquet(target).count()) != n:
+    beside = _beside(spark.read.parquet(source), target)
+    if (m := spark.read.parquet(beside).count()) != n:  # the target is still what it was
         raise ValueError(f"{m} rows arrived of {n}")
+    _move(spark, beside, target)
     return n
 
 
@@ -103,9 +111,12 @@ def plain(value: object) -> object:
     return value.isoformat() if hasattr(value, "isoformat") else value
 
 
-def to_document(rows: DataFrame) -> str:
-    """The rows of a small frame as one JSON array."""
-    return json.dumps([plain(r.asDict(recursive=True)) for r in rows.collect()], sort_keys=True)
+def to_document(rows: DataFrame, most: int = 10_000) -> str:
+    """The rows of a frame as one JSON array; more than `most` rows are an error, as they are no document."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: write them as a table")
+    return json.dumps([plain(r.asDict(recursive=True)) for r in found], sort_keys=True)
 
 
 def from_document(spark: SparkSession, text: str, schema: str) -> DataFrame:
