@@ -96,10 +96,14 @@ def standard(df: DataFrame) -> DataFrame:
     return df
 
 
+def forward(by: tuple[str, ...] = ()) -> Column:
+    """What a position decided on a row earns until the next one. The only forward shift on the way to returns."""
+    return _growth(F.lead("close").over(series(by)), F.col("close"))
+
+
 def forward_returns(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(ticker, ts, fwd_ret): what a position decided on ts earns until the next row. The only forward shift on the way to returns."""
-    window = series(by)
-    return df.select(*by, "ticker", "ts", _growth(F.lead("close").over(window), F.col("close")).alias("fwd_ret"))
+    """(ticker, ts, fwd_ret)."""
+    return df.select(*by, "ticker", "ts", forward(by).alias("fwd_ret"))
 
 
 #: The closed menu: key, transform, and the column that it adds.

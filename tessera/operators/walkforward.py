@@ -4,42 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import dates
+SCHEMA = "split int, train_start date, train_end date, test_start date, test_end date"
 
-COLUMNS = ("split", "train_start", "train_end", "test_start", "test_end")
 
+def _listed(days: DataFrame) -> DataFrame:
+    """One row: d, the dates in order (one entry a day), and n, their number."""
+    return days.agg(F.array_sort(F.collect_set("ts")).alias("d")).withColumn("n", F.size("d"))
 
-def _numbered(days: DataFrame) -> DataFrame:
-    return days.select("ts").distinct().select("ts", (F.row_number().over(dates()) - 1).alias("i"))
 
-
-def _at(bounds: DataFrame, numbered: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Positions in the columns `names` replaced by the dates there."""
-    for name in names:
-        place = numbered.select(F.col("i").alias(name), F.col("ts").alias(f"_{name}"))
-        bounds = bounds.join(F.broadcast(place), name).drop(name).withColumnRenamed(f"_{name}", name)  # a row per day
-    return bounds.select(*COLUMNS)
+def _made(rows: DataFrame, problem: str) -> DataFrame:
+    """The splits, a handful of rows, as a local frame: the dates are read once, whatever follows. An error if there are none."""
+    if not (found := rows.orderBy("split").collect()):
+        raise ValueError(problem)
+    return rows.sparkSession.createDataFrame(found, SCHEMA)
 
 
 def expanding_splits(days: DataFrame, n_splits: int, min_train: int, embargo: int = 0) -> DataFrame:
     """Tests are n_splits blocks after the first min_train days, the last one taking the remainder.
 
-    Training starts on the first day and ends embargo days before its test. Too few days are an error when the
-    splits are read: the dates, a list of one row a day, are numbered and cut in one pass over them.
+    Training starts on the first day and ends embargo days before its test.
     """
     if n_splits < 1 or min_train < 1 or embargo < 0 or min_train - embargo < 1:
         raise ValueError("n_splits and min_train must be positive, and the embargo shorter than min_train")
-    listed = days.agg(F.array_sort(F.collect_set("ts")).alias("d")).withColumn("n", F.size("d"))
     size = F.expr(f"(n - {min_train}) div {n_splits}").cast("int")
-    enough = F.when(size >= 1, size).otherwise(F.raise_error(F.concat(F.col("n").cast("string"), F.lit(f" days are too few for {n_splits} splits after {min_train}"))).cast("int"))
-    rows = listed.withColumn("size", enough).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    rows = _listed(days).withColumn("size", size).where("size >= 1").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     first = F.lit(min_train) + F.col("split") * F.col("size")
     last = F.when(F.col("split") == n_splits - 1, F.col("n") - 1).otherwise(first + F.col("size") - 1)
     at = lambda i: F.get("d", i)
-    return rows.select("split", at(F.lit(0)).alias("train_start"), at(first - 1 - embargo).alias("train_end"), at(first).alias("test_start"), at(last).alias("test_end"))
+    rows = rows.select("split", at(F.lit(0)).alias("train_start"), at(first - 1 - embargo).alias("train_end"), at(first).alias("test_start"), at(last).alias("test_end"))
+    return _made(rows, f"the days are too few for {n_splits} splits after {min_train}")
 
 
 def rolling_splits(days: DataFrame, train: int, test: int, step: int | None = None, embargo: int = 0) -> DataFrame:
@@ -47,23 +43,23 @@ def rolling_splits(days: DataFrame, train: int, test: int, step: int | None = No
     step = test if step is None else step
     if min(train, test, step) < 1 or embargo < 0:
         raise ValueError("train, test and step must be positive and the embargo not negative")
-    numbered = _numbered(days)
-    last = numbered.count() - train - embargo - test
-    if last < 0:
-        raise ValueError("the days are too few for a single split")
-    spark = days.sparkSession
-    bounds = spark.range(0, last // step + 1).select(F.col("id").cast("int").alias("split"), (F.col("id") * step).cast("int").alias("train_start"))
-    bounds = bounds.withColumn("train_end", F.col("train_start") + train - 1).withColumn("test_start", F.col("train_start") + train + embargo)
-    return _at(bounds.withColumn("test_end", F.col("test_start") + test - 1), numbered, COLUMNS[1:])
+    last = F.expr(f"n - {train + embargo + test}")
+    rows = _listed(days).where(last >= 0).withColumn("split", F.explode(F.sequence(F.lit(0), F.expr(f"(n - {train + embargo + test}) div {step}").cast("int"))))
+    first = F.col("split") * step
+    at = lambda i: F.get("d", i)
+    test_start = first + train + embargo
+    rows = rows.select("split", at(first).alias("train_start"), at(first + train - 1).alias("train_end"), at(test_start).alias("test_start"), at(test_start + test - 1).alias("test_end"))
+    return _made(rows, "the days are too few for a single split")
 
 
 def validate_splits(splits: DataFrame) -> DataFrame:
-    """The splits as they are; reading them is an error if one is reversed, trains into its test, or tests overlap."""
-    before = F.lag("test_end").over(Window.orderBy("test_start"))  # a handful of rows
-    wrong = (F.col("train_start") > F.col("train_end")) | (F.col("test_start") > F.col("test_end")) | (F.col("test_start") <= F.col("train_end")) | F.coalesce(F.col("test_start") <= F.col("_before"), F.lit(False))
-    text = F.concat(F.lit("invalid split: "), F.to_json(F.struct(*COLUMNS)))
-    checked = F.when(wrong, F.raise_error(text).cast("int")).otherwise(F.col("split"))
-    return splits.withColumn("_before", before).withColumn("split", checked).select(*COLUMNS)
+    """The splits as they are; an error if one is reversed, trains into its test, or tests overlap."""
+    before = None
+    for r in splits.orderBy("test_start").collect():  # a handful
+        if r.train_start > r.train_end or r.test_start > r.test_end or r.test_start <= r.train_end or before is not None and r.test_start <= before:
+            raise ValueError(f"invalid split: {r.asDict()}")
+        before = r.test_end
+    return splits
 
 
 def oos_returns(splits: DataFrame, backtest: Callable[[dict], DataFrame]) -> DataFrame:

@@ -7,7 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import series
 from tessera.operators import features
 from tessera.sources.shared import steady, stored
 
@@ -61,8 +60,7 @@ class Inputs:
         fwd_ret and sig, the 12-1 momentum.
         """
         rows = self.panel.transform(features.momentum_12_1).withColumnRenamed("mom_12_1", "sig")
-        ahead = F.try_divide(F.lead("close").over(series()), F.col("close")) - 1
-        return stored(rows.withColumn("fwd_ret", ahead), "frame")
+        return stored(rows.withColumn("fwd_ret", features.forward()), "frame")
 
     @cached_property
     def bars(self) -> DataFrame:
