@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
-from tessera.sources.shared import steady
+from tessera.sources.shared import release, steady
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     while (now := _mark(edges)) != before:
-        before = now
+        before, old = now, edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "v")
         small = large.join(least, F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = stored(small.unionByName(least.select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        release(old, large)  # a round leaves one table
     roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
