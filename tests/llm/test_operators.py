@@ -328,6 +328,32 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == _classes(rows)
 
 
+def test_near_dedup_finds_what_an_index_of_all_shingles_finds(spark):
+    """Every row whose id is divisible by 50 against all 10,000: no pair at 0.8 or more ends in two classes."""
+    from tessera.llm.common import text_chunks
+    from tessera.llm.near_dedup import near_dedup, shingle
+
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    classes = {r.doc_id: r.class_id for r in near_dedup(docs).collect()}
+    rows = docs.toArrow()
+    ids, sets = rows["doc_id"].to_pylist(), []
+    for _, n, data, offsets in text_chunks(rows["text"]):
+        owner, value, *_ = shingle(data, offsets)
+        sets += np.split(value, np.searchsorted(owner, np.arange(1, n)))
+    holders = defaultdict(list)
+    for k, values in enumerate(sets):
+        for v in values.tolist():
+            holders[v].append(k)
+    found = missed = 0
+    for k, values in enumerate(sets):
+        if ids[k] % 50 == 0:
+            for j, common in Counter(j for v in values.tolist() for j in holders[v] if j != k).items():
+                if common >= 0.8 * (len(values) + len(sets[j]) - common) - 1e-9:
+                    found += 1
+                    missed += classes[ids[k]] != classes[ids[j]]
+    assert found > 50 and missed == 0
+
+
 def test_near_dedup_whatever_the_repeat_counts(spark):
     """Of 100 shingles a copy repeats 20 a thousand times: the sets are 0.96 alike, the weighted ones half as much."""
     from tessera.llm.near_dedup import near_dedup
