@@ -53,7 +53,7 @@ END = TOP + BUCKETS
 CLASSES = END + 1
 CONTEXT, WIDTH = 6, 16
 #: Noise samples of a class's step and of a word's, tokens of a minibatch; step sizes; averaging rounds; partitions summed at once.
-NOISE, WORD_NOISE, BATCH, STEP, WORD_STEP, ROUNDS, MERGED = 48, 24, 1024, 0.3, 0.3, 3, 64
+NOISE, WORD_NOISE, BATCH, STEP, WORD_STEP, ROUNDS, MERGED = 32, 16, 1024, 0.3, 0.3, 3, 64
 #: Tokens of a round that a partition holds at least, on average, where there are so many.
 TRAINED = 1 << 19
 #: What the squared gradients start from, of the classes and of the words: the smaller, the larger the first steps.
