@@ -50,6 +50,18 @@ def test_quality_verdicts_n_gram_by_n_gram(spark, docs, labels, where):
     assert all(r.kept == (not r.base_failed and r.log_ratio >= rules.THRESHOLD) for r in got)
 
 
+def test_quality_rules_count_their_target_from_all_trusted_rows(spark, docs, labels):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import quality_rules as rules
+
+    many = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word of "), (F.col("id") % 3000).cast("string")).alias("text"))
+    model = rules.fit(many, many.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert not model.log_ratio.any()  # every text is trusted: both counts are the same
+    # joined to the texts, as beyond TRUSTED_SENT, they are counted alike
+    assert np.array_equal(rules.fit(docs, labels, sent=0).log_ratio, rules.fit(docs, labels).log_ratio)
+
+
 def _scores(model, rows):
     def size(text, content):
         book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
