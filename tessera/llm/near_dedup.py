@@ -37,6 +37,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Nodes in a block of a large bucket.
 BLOCK = 512
+#: Bytes of text whose shingles are drawn and sorted at once: a task holds some thirty times as much.
+TEXT_BYTES = 1 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,7 +121,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, n, data, offsets in text_chunks(batch.column(2)):
+        for at, n, data, offsets in text_chunks(batch.column(2), TEXT_BYTES):
             owner, value, _, keys = shingle(data, offsets)
             sig = signatures(owner, value, np.ones(len(value)), n, BANDS * ROWS)
             full = np.bincount(owner, minlength=n) > 0
@@ -129,7 +131,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, n, data, offsets in text_chunks(batch.column(0)):
+        for _, n, data, offsets in text_chunks(batch.column(0), TEXT_BYTES):
             owner, value, _, keys = shingle(data, offsets)
             yield pa.RecordBatch.from_arrays([_binary(keys), _lists(value, np.bincount(owner, minlength=n))], ["key", "shingles"])
 

@@ -134,3 +134,20 @@ def test_texts_beyond_a_chunk_are_counted_whole(spark):
     assert got[1].n_dup_lines == sum(n - 1 for n in lines.values())
     scored = {r.doc_id: r for r in lm.score_documents(documents).collect()}
     assert {d: r.n_tokens for d, r in scored.items()} == {d: n + 1 for d, n in count.items()}
+
+
+def test_near_dedup_sketches_a_batch_in_little_memory():
+    import tracemalloc
+
+    from tessera.llm import near_dedup
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, x)) for x in rng.integers(0, 100_000, (4000, 150))]  # some 3.5 MB
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["doc_id", "text_hash", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in near_dedup._sketch(iter([batch]))) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
