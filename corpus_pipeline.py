@@ -25,8 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     from tessera.llm import quality_classifier as classifier
 
     model = classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    kept = docs.select(*_columns(docs)).withColumn("__whole", F.col("text"))
-    return classifier.apply(kept, model).where("predicted = 1").withColumnRenamed("__whole", "text").select(*_columns(docs))
+    return classifier.apply(docs.select(*_columns(docs)), model, whole=True).where("predicted = 1").select(*_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

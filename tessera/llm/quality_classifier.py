@@ -58,19 +58,20 @@ def _features(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     return (np.array(sizes(bad), float) - np.array(sizes(good), float)) / lengths
 
 
-def _with_feature(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """docs without text, with the column feature."""
-    keep = [c for c in docs.columns if c != "text"]
+def _with_feature(docs: DataFrame, good: bytes, bad: bytes, whole: bool = False) -> DataFrame:
+    """docs with the column feature, and without text unless they are taken whole."""
+    keep = [c for c in docs.columns if whole or c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", feature double"
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = pc.fill_null(part.column("__text").cast(pa.large_binary()), b"").to_pylist()
+                texts = pc.fill_null(part.column(part.num_columns - 1).cast(pa.large_binary()), b"").to_pylist()
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(_features(texts, good, bad))], [*keep, "feature"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(compress, schema)
+    # the text comes last, and once
+    return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(compress, schema)
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -127,9 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(good, bad, slope, offset)
 
 
-def apply(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without text, with score and predicted."""
-    out = _with_feature(docs, model.good, model.bad)
+def apply(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
+    """docs with score and predicted, and without text unless they are taken whole."""
+    out = _with_feature(docs, model.good, model.bad, whole)
     score = 1 / (1 + F.exp(-(F.col("feature") * model.slope + model.offset)))
     return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop("feature")
 
