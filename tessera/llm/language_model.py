@@ -152,8 +152,14 @@ def start(model: Model) -> dict[str, np.ndarray]:
     return out | {"words": np.concatenate([np.zeros((len(model.inner), WIDTH)), np.log(model.inner)[:, None]], 1).astype(np.float32)}
 
 
-def _hidden(w: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
-    return sum((w["context"] * w["scale"][k])[contexts[:, k]] for k in range(CONTEXT))
+def _places(contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Numbers of (place, class) of some tokens' contexts, a row for each place."""
+    return contexts.take(rows, axis=0).T + CLASSES * np.arange(CONTEXT)[:, None]
+
+
+def _scaled(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The vectors of the classes at each place, by the numbers of _places()."""
+    return (w["context"] * w["scale"][:, None]).reshape(CONTEXT * CLASSES, WIDTH)
 
 
 def _up(real: np.ndarray) -> np.ndarray:
@@ -171,32 +177,31 @@ class Trainer:
         self.log_inner = np.log(WORD_NOISE * model.inner).astype(np.float32)
         self.reach = np.cumsum(model.inner)  # rises by 1 a class
 
-    def step(self, kind: np.ndarray, contexts: np.ndarray) -> None:
+    def step(self, kind: np.ndarray, places: np.ndarray) -> None:
         w, n = self.w, len(kind)
-        hidden = _hidden(w, contexts)
+        hidden = _scaled(w).take(places, axis=0).sum(0)
         noise = self.rng.choice(CLASSES, NOISE, p=self.m.prior)
-        target, others = w["target"][kind], w["target"][noise]
-        real = np.einsum("ij,ij->i", hidden, target) + (w["bias"] - self.log_noise)[kind]
+        target, others = w["target"].take(kind, axis=0), w["target"][noise]
+        real = np.einsum("ij,ij->i", hidden, target) + (w["bias"] - self.log_noise).take(kind)
         fake = hidden @ others.T + (w["bias"] - self.log_noise)[noise]
         up, down = _up(real), -_up(-fake)
         to_hidden = up[:, None] * target + down @ others
         # summed by place and class: both the vectors' and the scales' gradients follow
-        places = (contexts + CLASSES * np.arange(CONTEXT)).ravel()
-        by_place = _sums(places, np.repeat(to_hidden, CONTEXT, axis=0), CONTEXT * CLASSES).reshape(CONTEXT, CLASSES, WIDTH)
+        by_place = _sums(places.ravel(), to_hidden, CONTEXT * CLASSES).reshape(CONTEXT, CLASSES, WIDTH)
         self._move("context", (by_place * w["scale"][:, None]).sum(0) / n, STEP)
         self._move("scale", (by_place * w["context"]).sum(1) / n, STEP)
         self._move("target", _sums(np.concatenate([kind, noise]), np.concatenate([up[:, None] * hidden, down.T @ hidden]), CLASSES) / n, STEP)
         self._move("bias", np.bincount(np.concatenate([kind, noise]), np.concatenate([up, down.sum(0)]), CLASSES).astype(np.float32) / n, STEP)
         self.seen += n
 
-    def step_words(self, k: int, contexts: np.ndarray, spot: np.ndarray) -> None:
-        """One class's words: tokens of the class with their outputs. The hidden vectors are taken as they are."""
+    def step_words(self, k: int, hidden: np.ndarray, spot: np.ndarray) -> None:
+        """One class's words: tokens of the class with their hidden vectors, which are taken as they are, and outputs."""
         lo, hi = int(self.m.first[k]), int(self.m.first[k + 1])
-        hidden = np.concatenate([_hidden(self.w, contexts), np.ones((len(spot), 1), np.float32)], 1)
+        hidden = np.concatenate([hidden, np.ones((len(spot), 1), np.float32)], 1)
         noise = np.minimum(np.searchsorted(self.reach[lo:hi], self.reach[lo] - self.m.inner[lo] + self.rng.random(WORD_NOISE)), hi - lo - 1)
         table, own = self.w["words"][lo:hi], spot - lo
-        target, others = table[own], table[noise]
-        real = np.einsum("ij,ij->i", hidden, target) - self.log_inner[spot]
+        target, others = table.take(own, axis=0), table[noise]
+        real = np.einsum("ij,ij->i", hidden, target) - self.log_inner.take(spot)
         fake = hidden @ others.T - self.log_inner[lo:hi][noise]
         up, down = _up(real), -_up(-fake)
         gradient = _sums(np.concatenate([own, noise]), np.concatenate([up[:, None] * hidden, down.T @ hidden]), hi - lo) / len(spot)
@@ -210,23 +215,28 @@ class Trainer:
     def learn(self, kind: np.ndarray, contexts: np.ndarray, spot: np.ndarray) -> None:
         order = self.rng.permutation(len(kind))
         for k in range(0, len(kind), BATCH):
-            self.step(kind[order[k : k + BATCH]], contexts[order[k : k + BATCH]])
+            rows = order[k : k + BATCH]
+            self.step(kind.take(rows), _places(contexts, rows))
         shared = order[spot[order] >= 0]
         shared = shared[np.argsort(kind[shared].astype(np.uint16), kind="stable")]
         ends = np.searchsorted(kind[shared], np.arange(TOP, END + 1))
+        scaled = _scaled(self.w)  # the words' steps leave it as it is
         for k, (a, b) in enumerate(zip(ends, ends[1:])):
             for at in range(a, b, BATCH):
                 rows = shared[at : min(b, at + BATCH)]
-                self.step_words(TOP + k, contexts[rows], spot[rows])
+                self.step_words(TOP + k, scaled.take(_places(contexts, rows), axis=0).sum(0), spot.take(rows))
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, classes: int) -> np.ndarray:
-    """values summed by row number: sorted, then added in runs."""
-    order = np.argsort(rows.astype(np.uint16) if classes < 1 << 16 else rows, kind="stable")
-    rows = rows[order]
+    """values summed by row number: sorted, then added in runs. The values are taken again and again, if there are more row numbers."""
+    rows = rows.astype(np.uint16) if classes < 1 << 16 else rows
+    order = np.argsort(rows, kind="stable")
+    rows = rows.take(order)
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    values = values.astype(np.float32, copy=False).take(order % len(values) if len(values) < len(order) else order, axis=0)
+    pairs = values.view(np.complex64) if values.shape[1] % 2 == 0 else values  # two sums at once
     out = np.zeros((classes, values.shape[1]), np.float32)
-    out[rows[first]] = np.add.reduceat(values[order], first, axis=0)
+    out[rows[first]] = np.add.reduceat(pairs, first, axis=0).view(np.float32)
     return out
 
 
@@ -284,12 +294,15 @@ def _normalised(hidden: np.ndarray, target: np.ndarray, own: np.ndarray) -> np.n
     """log10 of the softmax of hidden times target (vectors and biases as columns) at the outputs `own`."""
     out, ones = np.empty(len(hidden)), np.ones(target.shape[1], np.float32)
     buffer = np.empty((min(ROWS, len(hidden)), target.shape[1]), np.float32)
+    longest = np.sqrt(np.einsum("ij,ij->j", target, target).max())
+    starts = target.shape[1] * np.arange(len(buffer))
+    near = longest * np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max()) < 59  # no score can be larger; a little less for rounding
     for at in range(0, len(hidden), ROWS):
         h = hidden[at : at + ROWS]
         scores = np.matmul(h, target, out=buffer[: len(h)])
-        if (top := scores.max()) > 60 or top < -60:  # far from normalised: exp() needs help
+        if not near and ((top := scores.max()) > 60 or top < -60):  # far from normalised: exp() needs help
             scores -= scores.max(1, keepdims=True)
-        picked = scores[np.arange(len(h)), own[at : at + ROWS]]
+        picked = scores.take(starts[: len(h)] + own[at : at + ROWS])
         np.exp(scores, out=scores)
         out[at : at + ROWS] = (picked - np.log(scores @ ones)) / math.log(10)
     return out
@@ -305,7 +318,7 @@ def log_probabilities(kind: np.ndarray, contexts: np.ndarray, spot: np.ndarray,
     hidden = np.empty((len(kind), WIDTH + 1), np.float32)
     for at in range(0, len(kind), 1 << 16):
         c = contexts[at : at + (1 << 16)]
-        hidden[at : at + (1 << 16)] = sum(t[c[:, k]] for k, t in enumerate(tables))
+        hidden[at : at + (1 << 16)] = sum(t.take(c[:, k], axis=0) for k, t in enumerate(tables))
     out = _normalised(hidden, target, kind)
     shared = np.flatnonzero(spot >= 0)
     shared = shared[np.argsort(kind[shared].astype(np.uint16), kind="stable")]
@@ -314,7 +327,7 @@ def log_probabilities(kind: np.ndarray, contexts: np.ndarray, spot: np.ndarray,
         lo, hi = int(model.first[TOP + k]), int(model.first[TOP + k + 1])
         if a < b and hi - lo > 1:  # a class without outputs of its own: the one that all share
             rows = shared[a:b]
-            out[rows] += _normalised(hidden[rows], np.ascontiguousarray(w["words"][lo:hi].T), spot[rows] - lo)
+            out[rows] += _normalised(hidden.take(rows, axis=0), np.ascontiguousarray(w["words"][lo:hi].T), spot[rows] - lo)
     return out
 
 
