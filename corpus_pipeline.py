@@ -1,4 +1,8 @@
-"""The corpus pipeline: five operators, each working on all rows that the one before has kept."""
+"""The corpus pipeline: five operators, each working on all rows that the one before has kept.
+
+Texts are written in small row groups: a stage reads and writes them at once, and with the default size a task
+holds two of 128 MB.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
+from tessera.sources.shared import small_groups
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -16,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules keep."""
     from tessera.llm import quality_rules as rules
 
-    model = rules.fit(docs, table(spark, sf_dir, "labels"))
+    model = rules.fit(docs, table(small_groups(spark), sf_dir, "labels"))
     return rules.apply(docs, model, keep=_columns(docs)).where("kept").select(*_columns(docs))
 
 
@@ -24,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier, learnt from all labelled documents and not only those that came this far, predicts to be good."""
     from tessera.llm import quality_classifier as classifier
 
-    model = classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = classifier.fit(table(small_groups(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return classifier.apply(docs.select(*_columns(docs)), model, whole=True).where("predicted = 1").select(*_columns(docs))
 
 
@@ -32,6 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat across documents."""
     from tessera.llm.line_dedup import dedup_lines
 
+    small_groups(spark)
     out = dedup_lines(docs.select(*_columns(docs)))
     out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
     return out.select(*_columns(docs))
@@ -41,6 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest doc_id; a repeated row stays once."""
     from tessera.llm.near_dedup import near_dedup as classes
 
+    small_groups(spark)
     kept = classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     out = docs.select(*_columns(docs)).withColumn("__text", F.xxhash64("text"))
     out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")

@@ -35,6 +35,21 @@ def steady(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of a row group of tables with whole texts.
+ROW_GROUP = 16 << 20
+
+
+def small_groups(spark: SparkSession) -> SparkSession:
+    """Makes what is written from now on Parquet row groups of ROW_GROUP bytes, unless the session has a size of its own.
+
+    A task that writes holds a row group, and one that reads holds its columns: of whole texts, both come near
+    the default of 128 MB, in each of an executor's tasks.
+    """
+    if not spark.conf.get("parquet.block.size", None):
+        spark.conf.set("parquet.block.size", str(ROW_GROUP))
+    return spark
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
